@@ -8,7 +8,7 @@ prefix sum over blocks, never from a window over a whole source.
 
 Chart: each reading is compared with the level just before it (forward chart) and just after it (the same chart run
 backwards); values further than CLIP scales from the level are clipped before level and scale are updated, so a spike
-or a run of them hardly moves the chart, while a lasting shift is followed. Impossible and stuck readings are left out.
+hardly moves the chart; SHIFT suspects in a row are taken for a lasting shift and the chart starts anew at their median. Impossible and stuck readings are left out.
 What is usual for a source is the median distance from the level, over all its readings.
 
 Defined results: a null value is no reading; repeated rows of an id count once; ties in the order are broken by id; a
@@ -28,7 +28,7 @@ from bookweave.operators.lifecycle import day_locate
 from bookweave.session import written
 
 CHUNK, WARM = 1024, 64
-ALPHA, CLIP = 0.2, 4.0
+ALPHA, CLIP, SHIFT = 0.2, 4.0, 5
 MIN_READINGS = 50
 SPIKE_TIMES, SIZE_TIMES = 20, 50
 MAX_PRICE = 1_999_999_900
@@ -42,19 +42,22 @@ def _chart(x: np.ndarray, scale0: float) -> np.ndarray:
         return out
     head = sorted(x[: min(n, 7)])
     level, scale = head[len(head) // 2], scale0
-    out[0] = np.nan
+    off: list[float] = []  # the suspects since the last reading near the level
     for i, v in enumerate(x.tolist()):
         if i:
             out[i] = level
         r = v - level
-        lim = CLIP * scale
         a = abs(r)
-        if a > lim:
-            r, a = (lim if r > 0 else -lim), lim
+        if a > CLIP * scale:
+            off.append(v)
+            if len(off) == SHIFT:  # so many in a row are a shift of level, not spikes
+                level, off = sorted(off)[SHIFT // 2], []
+                continue
+            r = CLIP * scale if r > 0 else -CLIP * scale
+        else:
+            off = []
         level += ALPHA * r
-        scale += ALPHA * (a - scale)
-        if scale < scale0:
-            scale = scale0
+        scale = max(scale0, scale + ALPHA * (min(a, 2 * scale) - scale))
     return out
 
 
