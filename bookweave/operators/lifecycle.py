@@ -83,7 +83,8 @@ def order_events(messages: DataFrame) -> DataFrame:
 def _closed_form(events: DataFrame) -> DataFrame:
     """Drop repeats; add ``grp`` and, for refs with at most one birth, whether the ref was open just before each event.
 
-    For the removal half of a replace: ``psk``/``pside`` = birth and side of the order it replaces.
+    ``left``: shares that rested before a mutation; ``born``: the birth of the order it acts on; ``price`` of a mutation
+    is that order's. For the removal half of a replace: ``psk``/``pside`` = birth and side of the order it replaces.
     All windows share one sort by (dl, ref, sk).
     """
     key = Window.partitionBy("dl", "ref")
@@ -100,6 +101,7 @@ def _closed_form(events: DataFrame) -> DataFrame:
         .withColumn("_born", F.count(F.when(F.col("kind") == BORN, 1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .withColumn("_psk", F.max(F.when(birth, F.col("sk"))).over(prev))
         .withColumn("_pqty", F.max(F.when(birth, F.col("qty"))).over(prev))
+        .withColumn("_pprice", F.max(F.when(birth, F.col("price"))).over(prev))
         .withColumn("_pside", F.max(F.when(birth, F.col("side"))).over(prev))
     )
     e = (
@@ -114,10 +116,13 @@ def _closed_form(events: DataFrame) -> DataFrame:
         & F.when(F.col("_pqty") > 0, F.coalesce("_sum", F.lit(0)) < F.col("_pqty")).otherwise(F.col("_n") == 0)
     )
     grp = F.when(F.col("_births") > 1, MULTI).when(F.col("_born") > 0, REPLACED).otherwise(SINGLE)
-    kill = F.col("kind") == KILL
+    kill, one = F.col("kind") == KILL, F.col("_births") <= 1
+    own = [F.when(one & ~birth, F.col("_pprice")).otherwise(F.col("price")).alias(c) if c == "price" else F.col(c) for c in EVENT]
     return e.select(
-        *EVENT,
-        F.when(F.col("_births") <= 1, is_open).alias("open"),
+        *own,
+        F.when(one, is_open).alias("open"),
+        F.when(one & is_open & ~birth, (F.col("_pqty") - F.coalesce("_sum", F.lit(0))).cast("bigint")).alias("left"),
+        F.when(one & ~birth, F.col("_psk")).alias("born"),
         F.when(kill, F.col("_psk")).alias("psk"),
         F.when(kill, F.col("_pside")).alias("pside"),
         F.lit(True).alias("valid"),
@@ -128,32 +133,37 @@ def _closed_form(events: DataFrame) -> DataFrame:
 def fold(rows: DataFrame) -> DataFrame:
     """The ordered fold over refs with several births; input has EVENT columns and ``valid`` (of BORN rows).
 
-    Gives ``open`` (was the ref open just before the event), ``psk``, ``pside`` of replaces. Rows are sorted inside
-    hash partitions and folded as a stream: one ref's state is five numbers, whatever the length of its history.
+    Gives ``open`` (was the ref open just before the event) and the other columns of the closed form. Rows are sorted inside
+    hash partitions and folded as a stream: one ref's state is a few numbers, whatever the length of its history.
     """
-    out = ", ".join(["dl bigint", "ref bigint", "sk bigint", "kind tinyint", "qty bigint", "price bigint", "side boolean", "other bigint", "open boolean", "psk bigint", "pside boolean", "valid boolean"])
+    out = ", ".join(["dl bigint", "ref bigint", "sk bigint", "kind tinyint", "qty bigint", "price bigint", "side boolean", "other bigint", "open boolean", "left bigint", "born bigint", "psk bigint", "pside boolean", "valid boolean"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, left, since, side = None, -1, None, None  # left: shares of the open order, -1 if none
+        at, left, since, side, cost = None, -1, None, None, None  # left: shares of the open order, -1 if none
         for b in batches:
-            was, psk, pside = [], [], []
-            for dl, ref, sk, kind, qty, s, valid in zip(b.dl, b.ref, b.sk, b.kind, b.qty, b.side, b.valid):
+            was, psk, pside, rest, born, paid = [], [], [], [], [], []
+            for dl, ref, sk, kind, qty, price, s, valid in zip(b.dl, b.ref, b.sk, b.kind, b.qty, b.price, b.side, b.valid):
                 if (dl, ref) != at:
-                    at, left, since, side = (dl, ref), -1, None, None
+                    at, left, since, side, cost = (dl, ref), -1, None, None, None
                 is_open = left >= 0
                 was.append(is_open)
+                act = kind > BORN and is_open
+                rest.append(left if act else None)
+                born.append(since if act else None)
+                paid.append(cost if act else None if pd.isna(price) else int(price))
                 kill = kind == KILL and is_open
                 psk.append(since if kill else None)
                 pside.append(side if kill else None)
                 if kind <= BORN:
                     if not is_open and valid:
-                        left, since, side = int(qty), sk, (None if kind == BORN else bool(s))
+                        left, since, side, cost = int(qty), sk, (None if kind == BORN else bool(s)), (None if pd.isna(price) else int(price))
                 elif is_open:
                     if kind == REDUCE and qty < left:
                         left -= int(qty)
                     else:
                         left = -1
-            yield b.assign(open=was, psk=pd.array(psk, dtype="Int64"), pside=pd.array(pside, dtype="boolean"))
+            ints = {"left": rest, "born": born, "psk": psk, "price": paid}
+            yield b.assign(open=was, pside=pd.array(pside, dtype="boolean"), **{k: pd.array(v, dtype="Int64") for k, v in ints.items()})
 
     cols = [*EVENT, "valid"]
     if "batch" in rows.columns:
