@@ -172,7 +172,7 @@ class Encoder:
         by = {i: e.hex() for e, i in self.entries.items()}
         pieces = F.split(F.lit(",".join(by.get(i, "") for i in range(top))), ",")
         joined = F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(pieces, i), F.lit(""))), "")
-        return F.decode(F.unhex(joined), F.lit("UTF-8"))
+        return F.make_valid_utf8(F.unhex(joined).cast("string"))
 
 
 def with_ids(documents: DataFrame, path: str = f"{TOKENIZERS}/byte_bpe_50k.json", text: str = "text", out: str = "ids") -> DataFrame:
