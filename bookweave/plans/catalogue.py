@@ -96,11 +96,8 @@ def quote_point(spark: SparkSession, d: str) -> DataFrame:
 
 def quote_json():
     """A book as the query service writes it; an empty side is null."""
-
-    def side(s: str):
-        return F.when(F.col(f"{s}_price").isNotNull(), F.struct(F.col(f"{s}_price").alias("price"), F.col(f"{s}_shares").alias("shares"))).alias(s[:3])
-
-    return F.to_json(F.struct("locate", side("bid"), side("ask"), "open_orders", "bid_levels", "ask_levels"), {"ignoreNullFields": "false"})
+    sides = [F.col(f"{s}_{c}").alias(f"best_{s}" + "_shares" * (c == "shares")) for s in ("bid", "ask") for c in ("price", "shares")]
+    return F.to_json(F.struct("locate", *sides, "open_orders", "bid_levels", "ask_levels"), {"ignoreNullFields": "false"})
 
 
 def checkpoint_bbo(spark: SparkSession, d: str) -> DataFrame:

@@ -56,8 +56,8 @@ FEED_SQL = {
         SELECT coalesce(snap.trade_day, h.trade_day) AS trade_day, count(*) AS books, count(*) FILTER (snap.locate IS NULL OR h.locate IS NULL) AS one_sided,
         count(*) FILTER (snap.bid_price IS DISTINCT FROM h.bid_price OR snap.ask_price IS DISTINCT FROM h.ask_price) AS other_quote, count(*) FILTER (snap.open_orders IS DISTINCT FROM h.open_orders) AS other_open_orders
         FROM snap FULL JOIN h ON snap.trade_day = h.trade_day AND snap.locate = h.locate GROUP BY ALL""",
-    "quote_point": f"""{W} SELECT trade_day, '{{"locate":' || locate || ',"bid":' || coalesce('{{"price":' || bid_price || ',"shares":' || bid_shares || '}}', 'null') || ',"ask":' || coalesce('{{"price":' || ask_price || ',"shares":' || ask_shares || '}}', 'null')
-        || ',"open_orders":' || open_orders || ',"bid_levels":' || bid_levels || ',"ask_levels":' || ask_levels || '}}' AS response FROM snap""",
+    "quote_point": f"""{W} SELECT trade_day, '{{"locate":' || locate || ',"best_bid":' || coalesce(bid_price::VARCHAR, 'null') || ',"best_bid_shares":' || coalesce(bid_shares::VARCHAR, 'null') || ',"best_ask":' || coalesce(ask_price::VARCHAR, 'null')
+        || ',"best_ask_shares":' || coalesce(ask_shares::VARCHAR, 'null') || ',"open_orders":' || open_orders || ',"bid_levels":' || bid_levels || ',"ask_levels":' || ask_levels || '}}' AS response FROM snap""",
     "checkpoint_bbo": f"""{W}, ord AS (SELECT trade_day, locate, seq, ceil(row_number() OVER (PARTITION BY trade_day ORDER BY seq) / 2000.0)::BIGINT AS version FROM ev),
         v AS (SELECT trade_day, unnest(range(1, max(version) + 1)) AS version FROM ord GROUP BY trade_day),
         st AS (SELECT f.trade_day, f.locate, f.root, ord.version, arg_max(f.book, f.n) AS book FROM f JOIN ord ON f.trade_day = ord.trade_day AND f.seq = ord.seq GROUP BY ALL),
