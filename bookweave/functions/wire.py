@@ -29,7 +29,7 @@ def be_int(payload: Column, first: int, size: int) -> Column:
     """Whole number from big-endian bytes; 8 bytes give the BIGINT of the same bit pattern."""
     n = F.conv(F.hex(F.substring(payload, first + 1, size)), 16, 10).cast("decimal(20,0)")
     if size == 8:
-        n = F.when(n >= 9223372036854775808, n - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(n)
+        n = F.when(n >= F.lit("9223372036854775808").cast("decimal(20,0)"), n - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(n)
     return n.cast("bigint")
 
 
