@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookweave.session import buckets, scratch_path, write_bucketed, written
@@ -232,7 +232,9 @@ def settle(spark: SparkSession, name: str, max_rounds: int = 1000) -> Feed:
         bad = void.select("dl", (F.col("seq") * 2 + 1).alias("sk"), F.lit(False).alias("_bad"))
         return fold(rows.join(bad, ["dl", "sk"], "left").withColumn("valid", F.col("_bad").isNull() | (F.col("kind") != BORN)))
 
-    void, n, rounds = None, -1, 0
+    # what a set of replaces is recognised by: their number and two sums over hashes, taken while it is written
+    mark = [F.count("*").alias("n"), F.sum(F.xxhash64("dl", "seq").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("seq", "dl")).alias("x")]
+    first, void, last, rounds = None, None, None, 0
     while True:
         rounds += 1
         if rounds > max_rounds:
@@ -245,18 +247,15 @@ def settle(spark: SparkSession, name: str, max_rounds: int = 1000) -> Feed:
         if many:
             fo = folded(void)
             lost = lost.unionByName(fo.where(f"kind = {KILL} AND NOT open").select("dl", F.expr("sk div 2").alias("seq"), F.col("other").alias("new_ref")))
-        if void is None:
-            nxt = written(lost.withColumn("direct", F.lit(True)), "void")
-        else:
-            known = first.select("dl", "seq", F.lit(True).alias("direct"))
-            nxt = written(lost.join(known, ["dl", "seq"], "left").withColumn("direct", F.coalesce("direct", F.lit(False))), "void")
-        m = nxt.count()
-        same = void is not None and m == n and len(nxt.join(void, ["dl", "seq"], "left_anti").take(1)) == 0
-        if void is None:
-            first = nxt
-        void, n = nxt, m
-        if same or n == 0:
+        seen = Observation()
+        void = written(lost.observe(seen, *mark), "void")
+        got = seen.get
+        first = void if first is None else first
+        if got == last or got["n"] == 0:
             break
+        last = got
+    known = first.select("dl", "seq", F.lit(True).alias("direct"))
+    void = void.join(known, ["dl", "seq"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
     edges = single.drop("new_ref")
     if many:
         fo = folded(void).withColumn("grp", F.lit(FOLDED)).select(*store.columns)
@@ -308,11 +307,15 @@ def replace_sides(feed: Feed) -> DataFrame:
     rounds.
     """
     e = feed.edges.where("open AND psk IS NOT NULL").join(feed.void.select("dl", "seq"), ["dl", "seq"], "left_anti")
-    cur = written(e.select("dl", "seq", F.when(F.col("pside").isNull(), F.expr("psk div 2")).alias("up"), F.col("pside").alias("side")), "sides")
-    while len(cur.where("up IS NOT NULL").take(1)):
+    cur = e.select("dl", "seq", F.when(F.col("pside").isNull(), F.expr("psk div 2")).alias("up"), F.col("pside").alias("side"))
+    while True:
+        seen = Observation()
+        cur = written(cur.observe(seen, F.count("up").alias("n")), "sides")
+        if not seen.get["n"]:
+            break
         par = cur.select("dl", F.col("seq").alias("up"), F.col("up").alias("_up"), F.col("side").alias("_side"))
         done = cur.where("up IS NULL")
         # a link whose parent is gone from the table (no valid birth) ends without a side
         more = cur.where("up IS NOT NULL").join(par, ["dl", "up"], "left").select("dl", "seq", F.col("_up").alias("up"), F.coalesce("_side", F.when(F.col("_up").isNull(), F.lit(False))).alias("side"))
-        cur = written(done.unionByName(more), "sides")
+        cur = done.unionByName(more)
     return cur.select("dl", "seq", "side")
