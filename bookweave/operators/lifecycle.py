@@ -35,6 +35,7 @@ from bookweave.session import buckets, scratch_path, write_bucketed, written
 ADD, BORN, REDUCE, DELETE, KILL = 0, 1, 2, 3, 4  # kinds of events; BORN and KILL are the two halves of a replace
 BOOK_TYPES = ("A", "F", "E", "C", "X", "D", "U")
 SINGLE, REPLACED, MULTI, FOLDED = 0, 1, 2, 3  # groups of refs in the store
+LINKS = 3  # links of a chain of replaces that one round follows
 EVENT = ["dl", "ref", "sk", "kind", "qty", "price", "side", "other"]
 _L = 4294967296
 
@@ -178,7 +179,7 @@ def fold(rows: DataFrame) -> DataFrame:
 class Feed:
     """A settled feed. ``name``: the bucketed table of events (``grp`` MULTI holds the raw rows of folded refs,
     FOLDED their settled rows); ``edges``: (dl, seq, psk, pside, open) of every replace; ``void``: replaces that found
-    no open order at their turn, ``direct`` of them even if every earlier replace had worked."""
+    no open order at their turn."""
 
     spark: SparkSession
     name: str
@@ -214,8 +215,8 @@ def settle(spark: SparkSession, name: str, max_rounds: int = 1000) -> Feed:
     orphans the events of the new ref and with them further replaces. Each round semi-joins the replaces with the
     void ones of the round before (and folds refs with several births again); it ends when nothing changes.
 
-    Rounds needed: the length of the longest chain of void replaces plus one. Each round touches the replaces and the
-    folded refs only. Starting from "every replace worked" any fixpoint is the sequential result, because a replace
+    Rounds needed: the length of the longest chain of void replaces over LINKS, plus one or two. Each round touches the
+    replaces and the folded refs only. Starting from "every replace worked" any fixpoint is the sequential result, because a replace
     depends on earlier ones only.
     """
     store = spark.table(name)
@@ -234,28 +235,31 @@ def settle(spark: SparkSession, name: str, max_rounds: int = 1000) -> Feed:
 
     # what a set of replaces is recognised by: their number and two sums over hashes, taken while it is written
     mark = [F.count("*").alias("n"), F.sum(F.xxhash64("dl", "seq").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("seq", "dl")).alias("x")]
-    first, void, last, rounds = None, None, None, 0
+    void, last, rounds = None, None, 0
+    here = ["dl", "seq", "new_ref"]
+    own = single.where("NOT open").select(*here)
+    heirs = single.where("open AND psk % 2 = 1").withColumn("_p", F.expr("psk div 2"))
     while True:
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-        lost = single.where("NOT open").select("dl", "seq", "new_ref")
-        if void is not None:
-            up = void.select("dl", F.col("seq").alias("_p"))
-            e = single.where("open AND psk % 2 = 1").withColumn("_p", F.expr("psk div 2"))
-            lost = lost.unionByName(e.join(up, ["dl", "_p"], "left_semi").select("dl", "seq", "new_ref"))
+        other = None
         if many:
-            fo = folded(void)
-            lost = lost.unionByName(fo.where(f"kind = {KILL} AND NOT open").select("dl", F.expr("sk div 2").alias("seq"), F.col("other").alias("new_ref")))
+            other = folded(void).where(f"kind = {KILL} AND NOT open").select("dl", F.expr("sk div 2").alias("seq"), F.col("other").alias("new_ref"))
+            other = written(other, "void")
+        lost = void
+        for _ in range(LINKS):
+            known = lost if other is None else other if lost is None else lost.unionByName(other)
+            lost = own
+            if known is not None:
+                up = known.select("dl", F.col("seq").alias("_p"))
+                lost = own.unionByName(heirs.join(up, ["dl", "_p"], "left_semi").select(*here))
         seen = Observation()
-        void = written(lost.observe(seen, *mark), "void")
+        void = written((lost if other is None else lost.unionByName(other)).observe(seen, *mark), "void")
         got = seen.get
-        first = void if first is None else first
         if got == last or got["n"] == 0:
             break
         last = got
-    known = first.select("dl", "seq", F.lit(True).alias("direct"))
-    void = void.join(known, ["dl", "seq"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
     edges = single.drop("new_ref")
     if many:
         fo = folded(void).withColumn("grp", F.lit(FOLDED)).select(*store.columns)

@@ -45,7 +45,7 @@ def test_replace_chain_direct_and_inherited(spark):
     rows = [msg(1, "U", 1, 99, 100, None, 10, 100), msg(2, "U", 1, 100, 101, None, 10, 100), msg(3, "E", 1, 101, shares=5), msg(4, "A", 1, 7, None, "B", 5, 100), msg(5, "X", 1, 7, shares=1)]
     feed = lc.settled_feed(feed_of(spark, rows))
     assert {(r.seq, r.direct) for r in lc.orphan_mutations(feed).collect()} == {(1, True), (2, False), (3, False)}
-    assert feed.rounds == 3
+    assert feed.rounds <= 3
 
 
 def test_boundary_values_and_the_ladder(spark):
