@@ -129,7 +129,8 @@ def test_residue(spark):
     bad = [
         "404: Not Found", '{"message": "Forbidden", "status": "403"}', "<html><head><style>.a{margin:1px} .b{gap:2px}</style></head><body><p>The link you followed has run out.</p></body></html>",
         "// SPDX-License-Identifier: MIT\n// Copyright 2019 the x authors\n// {{ title }}\n\n// __VERSION__: <your module>\n", "# My Project\n\n## About\n\nSay who should use it and why.\n",
-        "Lorem ipsum dolor sit amet, consectetur adipiscing elit.\nSed do eiusmod tempor incididunt ut labore.\n", "<noscript>Please turn on JavaScript and reload the page.</noscript><div id=\"root\"></div>", "foo bar baz foo bar baz foo bar baz",
+        "Lorem ipsum dolor sit amet, consectetur adipiscing elit.\nSed do eiusmod tempor incididunt ut labore.\n", "<noscript>Please turn on JavaScript and reload the page.</noscript><div id=\"root\"></div>", "foo bar baz foo bar baz foo bar baz", "sample text sample text sample text sample text\n",
+        "fatal: could not read blob 535633da02 from katu.example\nerror: fetch stopped after 50 s\n",
         "Traceback (most recent call last):\r\n  File \"/srv/a.py\", line 3, in run\r\nTimeoutError: no answer\r\n",
     ]
     good = [
