@@ -56,26 +56,55 @@ HINT = (
 )
 # Licence headers.
 LICENCE = r"(?i)spdx-licen[cs]e|copyright (?:\(c\) )?\d|\blicen[cs]ed? under|all rights reserved|see the licen[cs]e"
-# What no residue is without, in lower case; a document without any of it is settled by one scan.
-SIGNS = (
-    "{{|[[|<%=|<your |${|@@|§|#{|your_|replace_me|change_me|changeme|[insert |[your |[add |goes here|lorem|ipsum|dolor|cillum|fugia|veniat|velit|aliqua|culpa|foo bar|blah|sample text|dummy|filler text|coming soon|text here|placeholder|test test|asdf|fatal: |"
-    "not found|forbidden|bad gateway|gateway time|service unavailable|internal server error|too many|authorization required|authorisation required|access denied|accessdenied|"
-    "acceso denegado|nosuchkey|no such key|expiredlink|expired link|slowdown|slow down|has expired|not exist|may not read|is closed to|sign in to|went wrong|again later|versuchen sie|"
-    "never was|gibt es nicht|looked everywhere|been told|not be served|want this at once|too many people|go back to|you followed|erreur interne|gina no encontrada|nicht gefunden|mirror is down|"
-    "fetch stopped|limit exceeded|traceback (|error: |exception: |\"error|\"message\"|maintenance|temporarily unavailable|this page|page is|page was|\"gone\"|>gone<|\ngone|javascript|scripts|scripting|"
-    "checking your browser|my project|project title|# title|name of the library|your project|describe |explain |say who|list what|your choice|this line|this hint|goes in this place|one sentence that|set-up here"
-)
-SIGNS_PATTERN = r"<[A-Z][A-Z_]+>|%[A-Z][A-Z_]+%|__[A-Z]|(?m:^[^\p{L}\p{N}\n]{0,20}(?:(?:error|Error|ERROR):? ?)?[45]\d\d\b)|>[45]\d\d\b"
-
-
+# What ERROR, SCRIPT and HINT cannot match without, in lower case: one entry or more for every alternative of theirs, without its anchors. A text
+# without any of it is spared these three patterns and nothing else.
+SAID = [
+    r"not found", r"forbidden", r"bad gateway", r"gateway time-?out", r"service unavailable", r"internal server error", r"too many (?:requests|people want)",
+    r"authori[sz]ation required", r"access ?denied", r"acceso denegado", r"no ?such ?key", r"expired ?link", r"slow ?down", r"request has expired", r"does not exist",
+    r"you may not read", r"repository is closed", r"sign in to", r"something went wrong", r"try again later", r"versuchen sie es", r"moved or never was",
+    r"gibt es nicht mehr", r"looked everywhere", r"has been told", r"could not be served", r"go back to the start", r"link you followed", r"erreur interne",
+    r"gina no encontrada", r"seite nicht gefunden", r"mirror is down", r"fetch stopped", r"limit exceeded", r"traceback \(", r'file "', r"error: ", r"exception: ",
+    r"fatal: ", r'{"(?:errors?|message)":', r"under maintenance", r"temporarily unavailable", r"page (?:is|was) (?:not|missing)", r'"(?:reason|detail|status)": ?"', r"gone",
+    r"script.{0,200}(?:enabl|requir|disabled|\bon\b|allow|aktivier|page|cookies|site|archivo)",
+    *[w + r" (?:\w+ )?(?:java)?script" for w in (r"turn on", r"switch", r"enable", r"activ\w*", r"aktivieren sie", r"allow", r"works only with")],
+    r"checking your browser", r"my project", r"project title", r"title[\s*/\"'`-]*(?:$|<)", r"name of the library", r"your project",
+    *[w + r"\b.{0,200}(?:\bhere\b|your choice|has to be|who should|how to run|this line|this hint|set-?up|short example)"
+      for w in ("describe", "explain", "say", "list", "add", "replace", "delete", "write", "insert", "put")],
+    r"one sentence that says", r"goes in this place", r"hint before you publish",
+    *[d + rf"(?:(?<!\w{d})|(?<=error{d}))\d\d\b(?! ?[,;)\]}}])" for d in "45"],
+]
 def _bind(value: Column, use) -> Column:
     """use(value), with the value computed once inside higher-order functions."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def has_signs(text: Column) -> Column:
-    needles = F.split(F.lit(SIGNS), r"\|")
-    return _bind(F.lower(text), lambda low: F.exists(needles, lambda n: F.contains(low, n))) | text.rlike(SIGNS_PATTERN)
+def _any(entries: list[str]) -> str:
+    """One pattern for all entries, grouped by their first characters, which are literal."""
+    groups: dict[str, list[str]] = {}
+    for e in entries:
+        groups.setdefault(e[0], []).append(e[1:])
+    return "|".join(("\\" * (k in "{[(") + k) + "(?:" + "|".join(sorted(set(v))) + ")" for k, v in sorted(groups.items()))
+
+
+WORD = r"A-Za-z0-9_\p{L}\p{N}"
+FILLER = rf"(?i)(?<![{WORD}])(?:{_any(FILLER_WORDS.split())})(?![{WORD}])"
+# Where more than half of a segment's words are filler, two of them follow each other; words of one character do not count.
+FILLER_PAIR = rf"(?:{_any(FILLER_WORDS.split())})(?![{WORD}])(?:[^{WORD}\n]++(?:[{WORD}](?![{WORD}]))?+)++(?:{_any(FILLER_WORDS.split())})(?![{WORD}])"
+LEAST_REPEATED = 17  # characters of six words
+
+
+def has_evidence(text: Column) -> Column:
+    """Whether any line of the text has evidence: every document is judged, and most of them are settled here."""
+    flat = F.translate(text, "\r\t", "\n ")
+
+    def judged(known: Column) -> Column:
+        return F.exists(_lines(flat), lambda line: F.exists(_judged(line, known, False), lambda x: x["e"] > 0))
+
+    def known(m: Column) -> Column:
+        low = F.lower(flat)
+        return F.struct(m.alias("marked"), (m | low.rlike(f"(?m){_any(SAID)}")).alias("said"), (m | low.rlike(FILLER_PAIR)).alias("filled"))
+
+    return _bind(_bind(flat.rlike(PLACEHOLDER) | flat.rlike("(?i)<style"), known), judged)
 
 
 def _normal(text: Column) -> Column:
@@ -97,38 +126,56 @@ def boilerplate(documents: DataFrame, host: str = "repo") -> DataFrame:
 
 
 def _words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(rf"[{WORD}]{{2,}}"), F.lit(0))
+
+
+def _bare(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, r"^[\s/#*\"'`;%-]+|[\s*/\"'`-]+$", ""))
 
 
-def _judged(line: Column) -> Column:
-    """array of (evidence 0/1, words of content) of a line's segments between mark-up tags."""
-    marked = F.regexp_replace(F.regexp_replace(line, r"(?i)<style\b[^>]*>.*?</style>", " "), PLACEHOLDER, f" {MARK} ")
-    segments = F.split(F.regexp_replace(marked, r"<!?[A-Za-z/?!-][^<>]*>", "\n"), "\n")
-    filler = F.array(*[F.lit(w) for w in sorted(set(FILLER_WORDS.split()))])
+def _says(t: Column) -> Column:
+    return t.rlike(ERROR) | t.rlike(SCRIPT) | t.rlike(HINT)
+
+
+def _judged(line: Column, known: Column | None = None, content: bool = True) -> Column:
+    """array of (evidence 0/1, words of content) of a line's segments between mark-up tags.
+
+    ``known``: ``marked``, ``said`` and ``filled``, each false where the text is known to hold no placeholder or style sheet, nothing of SAID, or
+    no two filler words in a row.
+    """
+    marked, said, filled = (F.lit(True) if known is None else known[k] for k in ("marked", "said", "filled"))
+    clean = F.regexp_replace(F.regexp_replace(line, r"(?i)<style\b[^>]*>.*?</style>", " "), PLACEHOLDER, f" {MARK} ")
+    clean = F.when(marked, clean).otherwise(line)
+    segments = _bind(clean, lambda x: F.when(F.contains(x, F.lit("<")), F.split(F.regexp_replace(x, r"<!?[A-Za-z/?!-][^<>]*>", "\n"), "\n")).otherwise(F.array(x)))
 
     def parts(s: Column) -> Column:
-        bare = F.trim(F.regexp_replace(s, r"^[\s/#*\"'`;%-]+|[\s*/\"'`-]+$", ""))
         marks = F.length(s) - F.length(F.replace(s, F.lit(MARK), F.lit("")))
-        return F.struct(_words(s).alias("w"), marks.alias("m"), bare.alias("t"))
+        return F.struct(_words(s).alias("w"), marks.alias("m"), s.alias("s"))
 
     def counts(x: Column) -> Column:
-        fill = F.size(F.filter(x["w"], lambda w: F.array_contains(filler, F.lower(w))))
-        plain = F.size(F.filter(x["w"], lambda w: w.rlike("^[A-Za-z]+$")))
-        return F.struct(F.size(x["w"]).alias("n"), x["m"].alias("m"), x["t"].alias("t"), fill.alias("f"), plain.alias("p"), F.size(F.array_distinct(x["w"])).alias("d"))
+        return F.struct(F.size(x["w"]).alias("n"), x["m"].alias("m"), x["s"].alias("s"), x["w"].alias("w"))
+
+    def evidence(x: Column) -> Column:
+        n, m = x["n"], x["m"]
+        # the same few words over and over
+        repeated = (n >= 6) & _bind(F.size(F.array_distinct(x["w"])), lambda d: (d * 3 <= n) & (d <= 10)) & ~F.exists(x["w"], lambda w: ~w.rlike("^[A-Za-z]+$"))
+        filler = filled & (n >= 2) & (F.regexp_count(x["s"], F.lit(FILLER)) >= 0.7 * n)
+        return ((m > 0) & (n <= 8 + 4 * m)) | filler | repeated | said & (n <= 18) & _bind(_bare(x["s"]), _says)
 
     def judge(x: Column) -> Column:
-        n, m, t = x["n"], x["m"], x["t"]
-        said = F.when(n <= 18, t.rlike(ERROR) | t.rlike(SCRIPT) | t.rlike(HINT)).otherwise(F.lit(False))
-        repeated = (n >= 6) & (x["p"] == n) & (x["d"] * 3 <= n) & (x["d"] <= 10)  # the same few words over and over
-        e = ((m > 0) & (n <= 8 + 4 * m)) | ((n >= 2) & (x["f"] >= 0.7 * n)) | repeated | said
-        return _bind(e, lambda e: F.struct(F.when(e, 1).otherwise(0).alias("e"), F.when(e | (n <= 2), 0).otherwise(F.when(t.rlike(LICENCE), 0).otherwise(n)).alias("c")))
+        e = F.when(evidence(x), 1).otherwise(0)
+        if not content:
+            return F.struct(e.alias("e"))
+        n = x["n"]
+        return _bind(e, lambda e: F.struct(e.alias("e"), F.when((e > 0) | (n <= 2), 0).otherwise(F.when(_bare(x["s"]).rlike(LICENCE), 0).otherwise(n)).alias("c")))
 
-    return F.transform(F.filter(segments, lambda s: F.trim(s) != ""), lambda s: _bind(_bind(parts(s), counts), judge))
+    worth = lambda s: (said | filled | (F.length(s) >= LEAST_REPEATED)) & (F.trim(s) != "")
+    return F.transform(F.filter(segments, worth), lambda s: _bind(_bind(parts(s), counts), judge))
 
 
 def residual(documents: DataFrame, host: str = "repo") -> DataFrame:
-    """(doc_id, evidence, content) of the residual of every document that has any sign of residue."""
-    d = documents.where(has_signs(F.col("text"))).select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
+    """(doc_id, evidence, content) of the residual of every document that has any evidence."""
+    d = documents.where(has_evidence(F.col("text"))).select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
     lines = d.select("doc_id", "host", F.explode(_lines(F.translate("text", "\r\t", "\n "))).alias("line")).where("trim(line) <> ''")
     judged = lines.select("doc_id", F.xxhash64("host", F.trim(_normal(F.col("line")))).alias("h"), _judged(F.col("line")).alias("j"))
     judged = judged.select("doc_id", "h", F.expr("aggregate(j, 0, (a, x) -> a + x.e)").alias("e"), F.expr("aggregate(j, 0, (a, x) -> a + x.c)").alias("c"))
