@@ -4,7 +4,8 @@ Normalised lines are counted by host (the repository a file comes from), over al
 documents of a host share is its boilerplate (licence headers, banners, common lines) and is subtracted. What is left of a
 document, its residual, is evidence (a placeholder, filler words, a few words over and over, a left-over hint, an error message, a notice that
 scripts are required) or content. A document is residue if its residual has evidence and next to no content: real
-files keep their content whatever marks stand beside it.
+files keep their content whatever marks stand beside it. Segments of at most two words are scraps, counted apart with characters
+that stand alone: a message may have a few of them, a style sheet or a word list consists of them.
 
 "Different documents": copies of one file must not make all of its lines boilerplate. Each document has a signature (the
 least hash of its lines, which near copies share); per line a 64-bit sketch of signatures is kept, and a line is
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 MIN_DIFFERENT = 4  # different documents of a host that make a line boilerplate
 MAX_CONTENT = 8  # words of content a residual may have
+MAX_SCRAPS = 12  # words a residual may have in segments of at most two words: codes, ids and tags beside a message
 MARK = ""
 
 # The syntaxes of unfilled placeholders.
@@ -87,6 +89,7 @@ def _any(entries: list[str]) -> str:
 
 
 WORD = r"A-Za-z0-9_\p{L}\p{N}"
+SAID_PATTERN = f"(?m){_any(SAID)}"
 FILLER = rf"(?i)(?<![{WORD}])(?:{_any(FILLER_WORDS.split())})(?![{WORD}])"
 # Where more than half of a segment's words are filler, two of them follow each other; words of one character do not count.
 FILLER_PAIR = rf"(?:{_any(FILLER_WORDS.split())})(?![{WORD}])(?:[^{WORD}\n]++(?:[{WORD}](?![{WORD}]))?+)++(?:{_any(FILLER_WORDS.split())})(?![{WORD}])"
@@ -95,16 +98,18 @@ LEAST_REPEATED = 17  # characters of six words
 
 def has_evidence(text: Column) -> Column:
     """Whether any line of the text has evidence: every document is judged, and most of them are settled here."""
-    flat = F.translate(text, "\r\t", "\n ")
 
-    def judged(known: Column) -> Column:
-        return F.exists(_lines(flat), lambda line: F.exists(_judged(line, known, False), lambda x: x["e"] > 0))
+    def settled(flat: Column) -> Column:
+        def judged(known: Column) -> Column:
+            return F.exists(_lines(flat), lambda line: F.exists(_judged(line, known, False), lambda x: x["e"] > 0))
 
-    def known(m: Column) -> Column:
-        low = F.lower(flat)
-        return F.struct(m.alias("marked"), (m | low.rlike(f"(?m){_any(SAID)}")).alias("said"), (m | low.rlike(FILLER_PAIR)).alias("filled"))
+        def known(low: Column) -> Column:
+            marked = flat.rlike(PLACEHOLDER) | F.contains(low, F.lit("<style"))
+            return _bind(marked, lambda m: F.struct(m.alias("marked"), (m | low.rlike(SAID_PATTERN)).alias("said"), (m | low.rlike(FILLER_PAIR)).alias("filled")))
 
-    return _bind(_bind(flat.rlike(PLACEHOLDER) | flat.rlike("(?i)<style"), known), judged)
+        return _bind(_bind(F.lower(flat), known), judged)
+
+    return _bind(F.translate(text, "\r\t", "\n "), settled)
 
 
 def _normal(text: Column) -> Column:
@@ -138,7 +143,7 @@ def _says(t: Column) -> Column:
 
 
 def _judged(line: Column, known: Column | None = None, content: bool = True) -> Column:
-    """array of (evidence 0/1, words of content) of a line's segments between mark-up tags.
+    """array of (evidence 0/1, words of content, words of scraps) of a line's segments between mark-up tags.
 
     ``known``: ``marked``, ``said`` and ``filled``, each false where the text is known to hold no placeholder or style sheet, nothing of SAID, or
     no two filler words in a row.
@@ -160,35 +165,38 @@ def _judged(line: Column, known: Column | None = None, content: bool = True) ->
         # the same few words over and over
         repeated = (n >= 6) & _bind(F.size(F.array_distinct(x["w"])), lambda d: (d * 3 <= n) & (d <= 10)) & ~F.exists(x["w"], lambda w: ~w.rlike("^[A-Za-z]+$"))
         filler = filled & (n >= 2) & (F.regexp_count(x["s"], F.lit(FILLER)) >= 0.7 * n)
-        return ((m > 0) & (n <= 8 + 4 * m)) | filler | repeated | said & (n <= 18) & _bind(_bare(x["s"]), _says)
+        return ((m > 0) & (n <= 8 + 4 * m)) | filler | repeated | said & (n <= 18) & F.lower(x["s"]).rlike(SAID_PATTERN) & _bind(_bare(x["s"]), _says)
 
     def judge(x: Column) -> Column:
         e = F.when(evidence(x), 1).otherwise(0)
         if not content:
             return F.struct(e.alias("e"))
         n = x["n"]
-        return _bind(e, lambda e: F.struct(e.alias("e"), F.when((e > 0) | (n <= 2), 0).otherwise(F.when(_bare(x["s"]).rlike(LICENCE), 0).otherwise(n)).alias("c")))
+        plain = lambda e: F.when((e > 0) | (n <= 2), 0).otherwise(F.when(_bare(x["s"]).rlike(LICENCE), 0).otherwise(n))
+        scraps = lambda e: F.when((e > 0) | (n > 2) | _bare(x["s"]).rlike(LICENCE), 0).otherwise(F.regexp_count(x["s"], F.lit(f"[{WORD}]+")))
+        return _bind(e, lambda e: F.struct(e.alias("e"), plain(e).alias("c"), scraps(e).alias("s")))
 
     worth = lambda s: (said | filled | (F.length(s) >= LEAST_REPEATED)) & (F.trim(s) != "")
     return F.transform(F.filter(segments, worth), lambda s: _bind(_bind(parts(s), counts), judge))
 
 
 def residual(documents: DataFrame, host: str = "repo") -> DataFrame:
-    """(doc_id, evidence, content) of the residual of every document that has any evidence."""
+    """(doc_id, evidence, content, scraps) of the residual of every document that has any evidence."""
     d = documents.where(has_evidence(F.col("text"))).select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
     lines = d.select("doc_id", "host", F.explode(_lines(F.translate("text", "\r\t", "\n "))).alias("line")).where("trim(line) <> ''")
     judged = lines.select("doc_id", F.xxhash64("host", F.trim(_normal(F.col("line")))).alias("h"), _judged(F.col("line")).alias("j"))
-    judged = judged.select("doc_id", "h", F.expr("aggregate(j, 0, (a, x) -> a + x.e)").alias("e"), F.expr("aggregate(j, 0, (a, x) -> a + x.c)").alias("c"))
+    judged = judged.select("doc_id", "h", F.expr("aggregate(j, 0, (a, x) -> a + x.e)").alias("e"), F.expr("aggregate(j, 0, (a, x) -> a + x.c)").alias("c"), F.expr("aggregate(j, 0, (a, x) -> a + x.s)").alias("s"))
     # one pass: a line of evidence has no hash to be subtracted by
-    judged = judged.where("e > 0 OR c > 0").withColumn("h", F.when(F.col("e") == 0, F.col("h")))
+    judged = judged.where("e > 0 OR c > 0 OR s > 0").withColumn("h", F.when(F.col("e") == 0, F.col("h")))
     common = boilerplate(documents, host).withColumn("common", F.lit(True))
     left = judged.join(common, "h", "left")
-    return left.groupBy("doc_id").agg(F.sum("e").alias("evidence"), F.coalesce(F.sum(F.when(F.col("common").isNull(), F.col("c"))), F.lit(0)).alias("content"))
+    own = [F.coalesce(F.sum(F.when(F.col("common").isNull(), F.col(c))), F.lit(0)).alias(name) for c, name in (("c", "content"), ("s", "scraps"))]
+    return left.groupBy("doc_id").agg(F.sum("e").alias("evidence"), *own)
 
 
 def residue(documents: DataFrame, host: str = "repo") -> DataFrame:
     """(doc_id) of the documents to exclude."""
-    return residual(documents, host).where(f"evidence > 0 AND content <= {MAX_CONTENT}").select("doc_id")
+    return residual(documents, host).where(f"evidence > 0 AND content <= {MAX_CONTENT} AND scraps <= {MAX_SCRAPS}").select("doc_id")
 
 
 def without_residue(documents: DataFrame, host: str = "repo") -> DataFrame:

@@ -45,3 +45,10 @@ def test_every_document_is_judged(judged):
     for x in (rows, judged(more)[1]):
         assert [r for r in x if r.whole != r.quick] == []
     assert judged(more)[0] == []
+
+
+def test_files_of_short_lines_have_content(judged):
+    css = "/* 404 page not found */\n" + "".join(f".rule{i} {{\n  margin: {i}px;\n  color: red\n}}\n" for i in range(200))
+    good = [css, "# not found\n" + "".join(f"word{i}\n" for i in range(3000)), "# not found\n" + "".join(f"{i % 10} x\n" for i in range(60))]
+    bad = ["<Error><Code>NoSuchKey</Code><Key>a/b</Key><RequestId>7F</RequestId><HostId>x1</HostId></Error>", "<html><h1>404</h1>Not Found<hr>nginx</html>"]
+    assert judged(good + bad)[0] == bad
