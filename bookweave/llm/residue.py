@@ -4,7 +4,8 @@ Normalised lines are counted by host (the repository a file comes from), over al
 documents of a host share is its boilerplate (licence headers, banners, common lines) and is subtracted. What is left of a
 document, its residual, is evidence (a placeholder, filler words, a few words over and over, a left-over hint, an error message, a notice that
 scripts are required) or content. A document is residue if its residual has evidence and next to no content: real
-files keep their content whatever marks stand beside it. Segments of at most two words are scraps, counted apart with characters
+files keep their content whatever marks stand beside it. Of a line of more than ``SPAN`` words, each clause is judged, and the words
+that its marks do not account for are content. Segments of at most two words are scraps, counted apart with characters
 that stand alone: a message may have a few of them, a style sheet or a word list consists of them.
 
 "Different documents": copies of one file must not make all of its lines boilerplate. Each document has a signature (the
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 MIN_DIFFERENT = 4  # different documents of a host that make a line boilerplate
 MAX_CONTENT = 8  # words of content a residual may have
 MAX_SCRAPS = 12  # words a residual may have in segments of at most two words: codes, ids and tags beside a message
+SPAN = 18  # words that a mark accounts for at most: all of a short line, or its own clause and those beside it
+CLAUSE = r"(?<=[.!?;,])\s+"
 MARK = ""
 
 # The syntaxes of unfilled placeholders.
@@ -50,12 +53,18 @@ ERROR = (
 )
 SCRIPT = (
     r"(?i)(?:javascript|\bscripts?\b|\bscripting\b).{0,60}(?:enabl|requir|disabled|\bon\b|allow|aktivier|page|cookies|site|archivo)|"
-    r"(?:turn on|switch|enable|activ\w*|aktivieren sie|allow|works only with) (?:\w+ )?(?:javascript|scripts?|scripting)|checking your browser"
+    r"(?:turn on|switch|enable|activ\w*|aktivieren sie|allow|works only with) (?:\w+ )?(?:javascript|scripts?|scripting)|checking your browser|"
+    r"\benable it\b|\breload (?:the|this) page"
 )
 HINT = (
     r"(?i)^\W*(?:my project|project title|title|name of the library|your project)$|^\W*(?:describe|explain|say|list|add|replace|delete|write|insert|put)\b.{0,60}"
     r"(?:\bhere\b|your choice|has to be|who should|how to run|this line|this hint|set-?up|short example)|one sentence that says|goes in this place|hint before you publish"
 )
+# The members of an error message that is the body of a response.
+BODY = (
+    r"(?i)^\{ ?\"(?:errors?|message)\" ?: ?\"(?:[^\"\\]++|\\.)*+\" ?(?:, ?\"(?:documentation_?url|errors?|message|code|status|status_?code|reason|details?|request_?id|timestamp|path|title|type|url|success)\""
+    r" ?: ?(?:\"(?:[^\"\\]++|\\.)*+\"|[\w.+-]++) ?){0,9}+\}$"
+)
 # Licence headers.
 LICENCE = r"(?i)spdx-licen[cs]e|copyright (?:\(c\) )?\d|\blicen[cs]ed? under|all rights reserved|see the licen[cs]e"
 # What ERROR, SCRIPT and HINT cannot match without, in lower case: one entry or more for every alternative of theirs, without its anchors. A text
@@ -67,10 +76,11 @@ SAID = [
     r"gibt es nicht mehr", r"looked everywhere", r"has been told", r"could not be served", r"go back to the start", r"link you followed", r"erreur interne",
     r"gina no encontrada", r"seite nicht gefunden", r"mirror is down", r"fetch stopped", r"limit exceeded", r"traceback \(", r'file "', r"error: ", r"exception: ",
     r"fatal: ", r'{"(?:errors?|message)":', r"under maintenance", r"temporarily unavailable", r"page (?:is|was) (?:not|missing)", r'"(?:reason|detail|status)": ?"', r"gone",
-    r"script.{0,200}(?:enabl|requir|disabled|\bon\b|allow|aktivier|page|cookies|site|archivo)",
+    *[w + r".{0,200}(?:enabl|requir|disabled|\bon\b|allow|aktivier|page|cookies|site|archivo)" for w in ("javascript", r"s(?<!\ws)cript(?:s?|ing)\b")],
+    r"enable it\b", r"reload (?:the|this) page",
     *[w + r" (?:\w+ )?(?:java)?script" for w in (r"turn on", r"switch", r"enable", r"activ\w*", r"aktivieren sie", r"allow", r"works only with")],
     r"checking your browser", r"my project", r"project title", r"title[\s*/\"'`-]*(?:$|<)", r"name of the library", r"your project",
-    *[w + r"\b.{0,200}(?:\bhere\b|your choice|has to be|who should|how to run|this line|this hint|set-?up|short example)"
+    *[rf"{w[0]}(?<!\w{w[0]}){w[1:]}\b" + r".{0,200}(?:\bhere\b|your choice|has to be|who should|how to run|this line|this hint|set-?up|short example)"
       for w in ("describe", "explain", "say", "list", "add", "replace", "delete", "write", "insert", "put")],
     r"one sentence that says", r"goes in this place", r"hint before you publish",
     *[d + rf"(?:(?<!\w{d})|(?<=error{d}))\d\d\b(?! ?[,;)\]}}])" for d in "45"],
@@ -165,16 +175,28 @@ def _judged(line: Column, known: Column | None = None, content: bool = True) ->
         # the same few words over and over
         repeated = (n >= 6) & _bind(F.size(F.array_distinct(x["w"])), lambda d: (d * 3 <= n) & (d <= 10)) & ~F.exists(x["w"], lambda w: ~w.rlike("^[A-Za-z]+$"))
         filler = filled & (n >= 2) & (F.regexp_count(x["s"], F.lit(FILLER)) >= 0.7 * n)
-        return ((m > 0) & (n <= 8 + 4 * m)) | filler | repeated | said & (n <= 18) & F.lower(x["s"]).rlike(SAID_PATTERN) & _bind(_bare(x["s"]), _says)
+        return ((m > 0) & (n <= 8 + 4 * m)) | filler | repeated
+
+    def clauses(t: Column) -> Column:
+        """Words that the marks of a long segment account for."""
+        marked = F.filter(F.split(t, CLAUSE), _says)
+        own = F.aggregate(marked, F.lit(0), lambda a, x: a + F.least(F.size(_words(x)), F.lit(SPAN)))
+        return F.when(t.rlike(BODY), F.lit(2**31 - 1)).otherwise(_bind(own, lambda k: F.when(k > 0, F.greatest(k, F.lit(SPAN))).otherwise(0)))
+
+    def accounted(x: Column) -> Column:
+        n = x["n"]
+        told = F.when(n <= SPAN, _bind(_bare(x["s"]), lambda t: F.when(_says(t), n).otherwise(0))).otherwise(_bind(_bare(x["s"]), clauses))
+        return F.when(evidence(x), F.greatest(n, F.lit(1))).when(said & F.lower(x["s"]).rlike(SAID_PATTERN), F.least(told, n)).otherwise(0)
 
     def judge(x: Column) -> Column:
-        e = F.when(evidence(x), 1).otherwise(0)
-        if not content:
-            return F.struct(e.alias("e"))
         n = x["n"]
-        plain = lambda e: F.when((e > 0) | (n <= 2), 0).otherwise(F.when(_bare(x["s"]).rlike(LICENCE), 0).otherwise(n))
-        scraps = lambda e: F.when((e > 0) | (n > 2) | _bare(x["s"]).rlike(LICENCE), 0).otherwise(F.regexp_count(x["s"], F.lit(f"[{WORD}]+")))
-        return _bind(e, lambda e: F.struct(e.alias("e"), plain(e).alias("c"), scraps(e).alias("s")))
+        own = lambda k: F.when(k > 0, 1).otherwise(0).alias("e")
+        if not content:
+            return _bind(accounted(x), lambda k: F.struct(own(k)))
+        licence = lambda k: (k == 0) & _bare(x["s"]).rlike(LICENCE)
+        plain = lambda k: F.when((n <= 2) | licence(k), 0).otherwise(F.greatest(n - k, F.lit(0)))
+        scraps = lambda k: F.when((k > 0) | (n > 2) | licence(k), 0).otherwise(F.regexp_count(x["s"], F.lit(f"[{WORD}]+")))
+        return _bind(accounted(x), lambda k: F.struct(own(k), plain(k).alias("c"), scraps(k).alias("s")))
 
     worth = lambda s: (said | filled | (F.length(s) >= LEAST_REPEATED)) & (F.trim(s) != "")
     return F.transform(F.filter(segments, worth), lambda s: _bind(_bind(parts(s), counts), judge))

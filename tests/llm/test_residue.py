@@ -52,3 +52,16 @@ def test_files_of_short_lines_have_content(judged):
     good = [css, "# not found\n" + "".join(f"word{i}\n" for i in range(3000)), "# not found\n" + "".join(f"{i % 10} x\n" for i in range(60))]
     bad = ["<Error><Code>NoSuchKey</Code><Key>a/b</Key><RequestId>7F</RequestId><HostId>x1</HostId></Error>", "<html><h1>404</h1>Not Found<hr>nginx</html>"]
     assert judged(good + bad)[0] == bad
+
+
+def test_long_lines_are_judged_by_clause(judged):
+    bad = [
+        '{"message":"API rate limit exceeded for 192.0.2.7. (But here\'s the good news: Authenticated requests get a higher rate limit. Check out the documentation for more details.)","documentation_url":"https://docs.example/rest/overview#rate-limiting"}',
+        "We're sorry but this application doesn't work properly without JavaScript enabled. Please enable it and then reload the page to continue using the shop.",
+        "fatal: unable to access the remote copy of this file from the house mirror, as it was moved elsewhere some time ago",
+    ]
+    words = " ".join(f"name{i}" for i in range(30))
+    good = [f"{words} not found {words}", f'var a="not found";{words.replace(" ", "=1;")}', f'{{"message":"ok","items":"{words}"}}', f"{words}. Page not found. {words}, forbidden."]
+    found, rows = judged(bad + good)
+    assert found == bad
+    assert [r for r in rows if r.whole != r.quick] == []
