@@ -59,17 +59,17 @@ def entity_features(messages: DataFrame, codes: list[str] | None = None) -> Data
 def eager_join(left: DataFrame, right: DataFrame, on: list[str], left_sums: list[str], right_sums: list[str]) -> DataFrame:
     """Sums over the join of two states that are already grouped by ``on``, without joining their rows.
 
-    ``left``/``right`` carry ``on``, ``n`` (rows behind the state) and their sums. Result per key (all keys of the left):
-    the left state, ``right_n`` and the right sums, ``pairs`` = n * right_n, and for each sum x ``pairs_x``: its sum over
+    ``left``/``right`` carry ``on``, ``n`` (rows behind the state) and their sums. Result per key (all keys of both):
+    the left state (``n`` 0 and null sums if only the right has the key), ``right_n`` and the right sums, ``pairs`` = n * right_n, and for each sum x ``pairs_x``: its sum over
     all joined pairs (a left sum times the right count, a right sum times the left count).
-    A null key joins nothing.
+    A null key joins nothing, but its states are kept.
     """
     r = right.select(*on, F.col("n").alias("right_n"), *right_sums)
-    j = left.join(r, on, "left")
+    j = left.join(r, on, "full")
     big = "decimal(38,0)"
-    n, rn = F.col("n").cast(big), F.coalesce("right_n", F.lit(0)).cast(big)
+    n, rn = F.coalesce("n", F.lit(0)).cast(big), F.coalesce("right_n", F.lit(0)).cast(big)
     return j.withColumns(
-        {"right_n": F.coalesce("right_n", F.lit(0)), "pairs": n * rn}
+        {"n": F.coalesce("n", F.lit(0)), "right_n": F.coalesce("right_n", F.lit(0)), "pairs": n * rn}
         | {f"pairs_{c}": F.coalesce(F.col(c), F.lit(0)).cast(big) * rn for c in left_sums}
         | {f"pairs_{c}": F.coalesce(F.col(c), F.lit(0)).cast(big) * n for c in right_sums}
     )
@@ -79,7 +79,7 @@ def locate_totals(messages: DataFrame, executions: DataFrame) -> DataFrame:
     """Per locate: messages by type, executed shares, last ts, and what the trade tape adds over (trade_day, locate).
 
     ``pairs``/``pairs_tape_shares``: rows and tape shares of the join of messages and tape on (trade_day, locate); null
-    if beyond BIGINT. Repeated frames (seq) and repeated tape rows (exec_id) count once.
+    if beyond BIGINT. Tape records of a day or locate without messages count too. Repeated frames (seq) and repeated tape rows (exec_id) count once.
     """
     names = {f"{ord(t):02x}": t for t in "AFECXDU"}
     c = compact_types(messages)
@@ -95,7 +95,7 @@ def locate_totals(messages: DataFrame, executions: DataFrame) -> DataFrame:
     j = eager_join(day, tape, ["trade_day", "locate"], [], ["tape_shares"])
     big = [F.sum(x).alias(x) for x in ("pairs", "pairs_tape_shares")]
     out = j.groupBy("locate").agg(
-        F.sum("n").alias("n_messages"), *[F.sum(f"n_{t}").alias(f"n_{t}") for t in names.values()], F.sum("executed_shares").alias("executed_shares"),
+        F.sum("n").alias("n_messages"), *[F.coalesce(F.sum(f"n_{t}"), F.lit(0)).alias(f"n_{t}") for t in names.values()], F.coalesce(F.sum("executed_shares"), F.lit(0)).alias("executed_shares"),
         F.max("last_ts").alias("last_ts"), F.sum("right_n").alias("tape_records"), F.coalesce(F.sum("tape_shares"), F.lit(0)).alias("tape_shares"), *big,
     )
     return out.withColumns({x: F.expr(f"try_cast({x} AS bigint)") for x in ("pairs", "pairs_tape_shares")})
