@@ -69,7 +69,7 @@ def replay_report(spark: SparkSession, d: str) -> DataFrame:
     frames = frames.groupBy("trade_day").agg(F.count("*").alias("frames"), F.sum(F.col("len") + 2).alias("bytes"), F.count(F.when(F.col("decoded"), 1)).alias("decoded"))
     s = book.snapshot(m, feed).groupBy("trade_day").agg(F.count("*").alias("books"), *[F.sum(c).alias(c) for c in ("open_orders", "bid_levels", "ask_levels")])
     u = book.applied(feed).where("NOT applied").groupBy(lifecycle.split_day_locate()[0]).agg(F.count("*").alias("unknown_refs"))
-    return frames.join(s, "trade_day").join(u, "trade_day")
+    return frames.join(s, "trade_day", "left").join(u, "trade_day", "left").fillna(0, ["books", "open_orders", "bid_levels", "ask_levels", "unknown_refs"])
 
 
 def threeway_diff(spark: SparkSession, d: str) -> DataFrame:
