@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookweave.functions import wire
 from bookweave.operators import execution as ex
+from bookweave.operators import ladder
 from bookweave.operators import session_layer as sl
 from bookweave.operators import stats
 from bookweave.session import table
@@ -144,6 +145,13 @@ def ladder_offgrid_rejects(s, d):
     return m.select("trade_day", "seq", "type").distinct().groupBy("trade_day", "type").agg(F.count("*").alias("rejects"))
 
 
+def ladder_rejects(s, d):
+    """Adds and replaces that the tick ladder refuses for their price, off the grid or beyond its window."""
+    m = messages(s, d)
+    kinds = m.where("decoded AND type IN ('A', 'F', 'U')").select("trade_day", "locate", "seq", "type").distinct()
+    return kinds.join(ladder.refused(m), ["trade_day", "locate", "seq"], "left_semi").groupBy("trade_day", "type").agg(F.count("*").alias("rejects"))
+
+
 def session_dedupe(s, d):
     return sl.dedupe(messages(s, d))
 
@@ -205,7 +213,7 @@ def wire_roundtrip(s, d):
 
 _ALL = (
     twap_schedule, twap_children, volume_curve, vwap_children, vwap_market_volume, pov_children, almgren_schedule, fills_limit, fills_market, fill_stats, risk_reasons, risk_accepted,
-    latency_percentiles, throughput_median_best, ratio_gate, drift_warning, history_record_anti, ci_ratio_per_commit, plot_pivot, message_counts, ladder_offgrid_rejects,
+    latency_percentiles, throughput_median_best, ratio_gate, drift_warning, history_record_anti, ci_ratio_per_commit, plot_pivot, message_counts, ladder_offgrid_rejects, ladder_rejects,
     session_dedupe, session_gaps, session_drain, retransmit_range_join, snapshot_versions, list_json, query_errors, wire_encode, wire_roundtrip,
 )
 QUERIES = {f.__name__: f for f in _ALL}
