@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits a text into words for this family of vocabularies. (?U): white space of all scripts.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+FIRST, LAST = 0x300, 0xD7FF  # characters that stand for merged ids while a word is folded
 STRETCH = 2048  # words that share one list of distinct words; bounds the linear search in it, whatever a text's length
 _SEP = ""
 
@@ -68,11 +69,24 @@ def cuckoo(items: list[tuple[int, object]], bits: int) -> list:
     return table
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with the value computed once inside higher-order functions.
+
+    It is the finish of an aggregation over nothing: an array item would work out its type, and with it that of all that
+    is nested in it, anew for every value.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, use)
+
+
 def _literal(values: list, kind: str) -> Column:
     """A literal array, as one string that constant folding splits once at planning time."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def _texts(values: list[str]) -> Column:
+    return F.split(F.lit(_SEP.join(values)), _SEP)
+
+
 class Encoder:
     """Column expressions for one vocabulary file; ranks equal ids (the file's merges are in order of merged id)."""
 
@@ -81,28 +95,34 @@ class Encoder:
         if any(a[2] >= b[2] for a, b in zip(merges, merges[1:])):
             raise ValueError("merged ids must follow the order of the merges")
         self.entries = entries
-        pairs = [(_h(((a << 16) + b).to_bytes(8, "little")), ((a << 16) + b, m)) for a, b, m in merges]
+        # the character of an id: that of its byte, or one from FIRST on
+        char = {entries[bytes([b])]: chr(b) for b in range(256)} | {m: chr(FIRST + m) for _, _, m in merges}
+        if max(map(ord, char.values())) > LAST:
+            raise ValueError("too many ids for one character each")
+        pairs = [(_h((char[a] + char[b]).encode()), (char[a] + char[b], m)) for a, b, m in merges]
         self.pair_bits = max(4, (len(pairs) * 2).bit_length())
-        t = cuckoo(pairs, self.pair_bits)
-        self.pair_keys = _literal([x[1][0] if x else -1 for x in t], "bigint")
-        self.pair_ids = _literal([x[1][1] if x else -1 for x in t], "bigint")
+        t = cuckoo(pairs[::-1], self.pair_bits)
+        pair_keys = _texts([x[1][0] if x else "" for x in t])
+        pair_ids = _literal([x[1][1] if x else -1 for x in t], "bigint")
+        made = {m: char[a] + char[b] for a, b, m in merges}
+        pair_of = _texts([made.get(i, "") for i in range(max(char) + 1)])
+        char_of = _texts([char.get(i, "") for i in range(max(char) + 1)])
+        back = {ord(c): i for i, c in char.items()}
+        id_of = _literal([back.get(i, -1) for i in range(max(back) + 1)], "bigint")
         words = []
-        for e, i in entries.items():
+        for e, i in sorted(entries.items(), key=lambda x: -x[1]):  # frequent entries last: they keep their first place
             try:
                 words.append((_h(e), (e.decode("utf-8"), i)))
             except UnicodeDecodeError:
                 pass  # part of a character: never a whole word
         self.word_bits = max(4, (len(words) * 2).bit_length())
         t = cuckoo(words, self.word_bits)
-        self.words = F.split(F.lit(_SEP.join(x[1][0] if x else "" for x in t)), _SEP)
-        self.word_ids = _literal([x[1][1] if x else -1 for x in t], "bigint")
-        for self.byte_shift in range(48):  # bits of the hash in which all bytes differ
-            if len({_h(bytes([b])) >> self.byte_shift & 0xFFFF for b in range(256)}) == 256:
-                break
-        else:
-            raise ValueError("no collision-free bits")
-        by = {_h(bytes([b])) >> self.byte_shift & 0xFFFF: entries[bytes([b])] for b in range(256)}
-        self.byte_ids = _literal([by.get(i, -1) for i in range(1 << 16)], "bigint")
+        word_keys = _texts([x[1][0] if x else "" for x in t])
+        word_ids = _literal([x[1][1] if x else -1 for x in t], "bigint")
+
+        # one literal for all tables: a copy for each use would be sent with every task
+        names = ("word_keys", "word_ids", "pair_keys", "pair_ids", "pair_of", "char_of", "id_of")
+        self.tables = F.struct(*[c.alias(n) for n, c in zip(names, (word_keys, word_ids, pair_keys, pair_ids, pair_of, char_of, id_of))])
 
     def _probe(self, key: Column, h: Column, keys: Column, values: Column, bits: int) -> Column:
         mask = F.lit((1 << bits) - 1)
@@ -110,61 +130,70 @@ class Encoder:
         two = F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int")
         return F.when(F.get(keys, one) == key, F.get(values, one)).when(F.get(keys, two) == key, F.get(values, two))
 
-    def entries_of(self, words: Column) -> Column:
+    def entries_of(self, t: Column, words: Column) -> Column:
         """For each word of a list its id if it is an entry, else null."""
-        hashes = F.transform(words, lambda x: F.xxhash64(x))
-        return F.zip_with(words, hashes, lambda x, h: self._probe(x, h, self.words, self.word_ids, self.word_bits))
+        return F.transform(words, lambda x: self._probe(x, F.xxhash64(x), t["word_keys"], t["word_ids"], self.word_bits))
 
-    def _pairs(self, s: Column) -> Column:
-        """For each id but the last: the id it makes with the next one, or null."""
-        keys = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.shiftleft(a, 16) + b)
-        return F.transform(keys, lambda k: self._probe(k, F.xxhash64(k), self.pair_keys, self.pair_ids, self.pair_bits))
+    def _merged(self, t: Column, pair: Column) -> Column:
+        """The id that a pair of characters makes, or null."""
+        return self._probe(pair, F.xxhash64(pair), t["pair_keys"], t["pair_ids"], self.pair_bits)
 
     def fold(self, word: Column) -> Column:
-        """Ids (BIGINT) of one word by ranked merges over its bytes."""
-        raw = word.cast("binary")
-        ids = F.transform(
-            F.sequence(F.lit(1), F.octet_length(word)),
-            lambda i: F.get(self.byte_ids, F.shiftrightunsigned(F.xxhash64(F.substring(raw, i, F.lit(1))), self.byte_shift).bitwiseAND(F.lit(0xFFFF)).cast("int")),
-        )
-
-        def state(s: Column) -> Column:
-            """The ids, the merges of adjacent ones, and the best of these."""
-            c = F.get(F.transform(F.array(s), lambda x: F.struct(x.alias("s"), self._pairs(x).alias("c"))), F.lit(0))
-            return F.get(F.transform(F.array(c), lambda x: F.struct(x["s"].alias("s"), x["c"].alias("c"), F.array_min(x["c"]).alias("m"))), F.lit(0))
+        """Ids (BIGINT) of one word."""
+        return bind(self.tables, lambda t: self._fold(t, word))
+
+    def _fold(self, t: Column, word: Column) -> Column:
+        """Ids (BIGINT) of one word by ranked merges over its bytes.
+
+        The bytes are the characters of a string; a merge replaces two characters by the one that stands for the merged id,
+        everywhere, from left to right. The state is the string, the ids that its pairs could make, and the least of them. One place
+        merged brings two new pairs; what is no longer in the string is dropped when its turn comes.
+        """
+
+        merged = lambda pair: self._merged(t, pair)
+
+        def state(s: Column, c: Column) -> Column:
+            return bind(F.struct(s.alias("s"), c.alias("c")), lambda x: F.struct(x["s"].alias("s"), x["c"].alias("c"), F.array_min(x["c"]).alias("m")))
+
+        def start(s: Column) -> Column:
+            return bind(F.split(s, ""), lambda x: F.transform(F.array_distinct(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), lambda a, b: F.concat(a, b))), merged))
 
         def merge(acc: Column) -> Column:
-            # all places of the best pair at once; of a pair of equal ids only the first, as its places may overlap
-            s, c, m = acc["s"], acc["c"], acc["m"]
-            p = F.array_position(c, m).cast("int")
-            gone = F.lit(None).cast("bigint")
-            first = F.transform(s, lambda x, i: F.when(i == p, gone).when(i == p - 1, m).otherwise(x))
-            every = F.transform(s, lambda x, i: F.when(F.get(c, i - 1) == m, gone).when(F.get(c, i) == m, m).otherwise(x))
-            return F.array_compact(F.when(F.get(s, p - 1) == F.get(s, p), first).otherwise(every))
+            pair, new, rest = F.get(t["pair_of"], acc["m"].cast("int")), F.get(t["char_of"], acc["m"].cast("int")), F.array_remove(acc["c"], acc["m"])
+
+            def after(x: Column) -> Column:
+                at = F.instr(x, new)
+                sides = F.transform(F.array(F.substring(x, at - 1, F.lit(2)), F.substring(x, at, F.lit(2))), merged)
+                return state(x, F.when(F.length(x) + 1 == F.length(acc["s"]), F.concat(rest, sides)).otherwise(start(x)))
+
+            return F.when(F.contains(acc["s"], pair), bind(F.replace(acc["s"], pair, new), after)).otherwise(state(acc["s"], rest))
+
+        def run(s: Column) -> Column:
+            rounds = F.sequence(F.lit(1), 3 * F.length(s))  # of n - 1 merges at most, each brings two pairs
+            done = F.aggregate(rounds, state(s, start(s)), lambda acc, _: F.when(acc["m"].isNull(), acc).otherwise(merge(acc)), lambda acc: acc["s"])
+            return F.transform(F.split(done, ""), lambda x: F.get(t["id_of"], F.ascii(x)))
 
-        rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-        return F.aggregate(rounds, state(ids), lambda acc, _: F.when(acc["m"].isNull(), acc).otherwise(state(merge(acc))), lambda acc: acc["s"])
+        return bind(F.when(F.octet_length(word) == F.length(word), word).otherwise(F.decode(word.cast("binary"), "ISO-8859-1")), run)
 
     def encode(self, text: Column) -> Column:
         """Ids of a text."""
         words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
-        def stretch(w: Column) -> Column:
+        def stretch(t: Column, w: Column) -> Column:
             def joined(y: Column) -> Column:
                 return F.flatten(F.zip_with(y["w"], y["e"], lambda x, e: F.when(e.isNotNull(), F.array(e)).otherwise(F.get(y["f"], F.array_position(y["r"], x).cast("int") - 1))))
 
             def folded(y: Column) -> Column:
                 rest = F.array_distinct(F.filter(y["w"], lambda x, i: F.get(y["e"], i).isNull()))
-                r = F.transform(F.array(rest), lambda r: F.struct(y["w"].alias("w"), y["e"].alias("e"), r.alias("r"), F.transform(r, self.fold).alias("f")))
-                return F.get(F.transform(r, joined), F.lit(0))
+                return bind(bind(rest, lambda r: F.struct(y["w"].alias("w"), y["e"].alias("e"), r.alias("r"), F.transform(r, lambda x: self._fold(t, x)).alias("f"))), joined)
 
-            return F.get(F.transform(F.array(F.struct(w.alias("w"), self.entries_of(w).alias("e"))), folded), F.lit(0))
+            return bind(bind(w, lambda w: F.struct(w.alias("w"), self.entries_of(t, w).alias("e"))), folded)
 
-        def parts(w: Column) -> Column:
+        def parts(t: Column, w: Column) -> Column:
             n = F.greatest(F.size(w) - 1, F.lit(0))
-            return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / STRETCH).cast("int")), lambda k: stretch(F.slice(w, k * STRETCH + 1, F.lit(STRETCH)))))
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / STRETCH).cast("int")), lambda k: stretch(t, F.slice(w, k * STRETCH + 1, F.lit(STRETCH)))))
 
-        return F.get(F.transform(F.array(words), parts), F.lit(0)).cast("array<int>")
+        return bind(self.tables, lambda t: bind(words, lambda w: parts(t, w))).cast("array<int>")
 
     def decode(self, ids: Column) -> Column:
         """Text of a list of ids: the entries' bytes, joined. Bytes that are no UTF-8 become the replacement character."""
