@@ -1,20 +1,30 @@
-"""Template residue, filler, error pages and script notices in place of a file.
+r"""Template residue, filler, error pages and script notices in place of a file.
 
-Normalised lines are counted by host (the repository a file comes from), over all documents; a line that many different
-documents of a host share is its boilerplate (licence headers, banners, common lines) and is subtracted. What is left of a
-document, its residual, is evidence (a placeholder, filler words, a few words over and over, a left-over hint, an error message, a notice that
-scripts are required) or content. A document is residue if its residual has evidence and next to no content: real
-files keep their content whatever marks stand beside it. Of a line of more than ``SPAN`` words, each clause is judged, and the words
-that its marks do not account for are content. Segments of at most two words are scraps, counted apart with characters
-that stand alone: a message may have a few of them, a style sheet or a word list consists of them.
+Normalised lines are counted by host (the repository a file comes from), over all documents; a line that at least
+``MIN_DIFFERENT`` different documents of a host share is its boilerplate (licence headers, banners, common lines) and is
+subtracted. What is left of a document, its residual, is evidence (a placeholder, filler, a few words over and over, a
+left-over hint, an error message, a notice that scripts are required) or content. A document is residue if its residual
+has evidence and next to no content: real files keep their content whatever marks stand beside it.
+
+What counts as evidence is composed of word classes (a failure and the thing that fails, scripts and their being
+required, a verb of writing and what is to be written), not of the sentences of any corpus. The classes may be wide,
+because they alone decide nothing: a file with content is kept however many of its lines match.
+
+Of a line of more than ``SPAN`` words, each clause is judged, and the words that its marks do not account for are content.
+Segments of at most two words are scraps, counted apart with characters that stand alone: a message may have a few of
+them, a style sheet or a word list consists of them.
 
 "Different documents": copies of one file must not make all of its lines boilerplate. Each document has a signature (the
-least hash of its lines, which near copies share); per line a 64-bit sketch of signatures is kept, and a line is
-boilerplate from ``MIN_DIFFERENT`` bits on. The sketch is one BIGINT merged by OR, so counting is pre-aggregated in
-every task however many rows a host has; only (line hash, sketch) is shuffled. Evidence lines are never subtracted.
+least hash of its lines, which near copies share); the different signatures of a line are counted exactly, in two steps
+(distinct pairs of line and signature, then their number), so a line that a third of all documents share is spread over
+all tasks. Lines are then looked up among the boilerplate under a salted key.
+
+Most documents are settled without their text: a line that cannot be evidence (``possible`` is a superset of the judge, line
+by line) is reduced to its number of words. Only where these leave no more than ``MAX_CONTENT`` words of content are the other lines
+judged. No document is settled by its length, a prefix or a sample.
 
 Defined results: null, empty and blank texts are no residue; a null host is a host of its own; a repeated row of a document is
-judged alike and reported once; a null doc_id is reported as null; columns not named are not read.
+judged alike and reported once; a null doc_id is reported as null if any such row is residue alone; columns not named are not read.
 """
 
 from __future__ import annotations
@@ -22,203 +32,250 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookweave.llm.tokenize import bind
+
 MIN_DIFFERENT = 4  # different documents of a host that make a line boilerplate
 MAX_CONTENT = 8  # words of content a residual may have
 MAX_SCRAPS = 12  # words a residual may have in segments of at most two words: codes, ids and tags beside a message
 SPAN = 18  # words that a mark accounts for at most: all of a short line, or its own clause and those beside it
+SALTS = 8  # parts of a hot line's rows when it is looked up
 CLAUSE = r"(?<=[.!?;,])\s+"
-MARK = ""
+MARK = ""  # stands for a placeholder
+WORD = r"A-Za-z0-9_\p{L}\p{N}"
 
 # The syntaxes of unfilled placeholders.
 PLACEHOLDER = (
-    r"\{\{ ?\w+(?:\.\w+)? ?\}\}|\[\[ ?\w+ ?\]\]|<%= ?\w+ ?%>|<your [\w ]+>|<[A-Z][A-Z_]+>|\$\{[A-Z_]+\}|%[A-Z][A-Z_]+%|__[A-Z][A-Z_]*__|@@\w+@@|"
-    r"§\w+§|#\{\w+\}|YOUR_\w+?_HERE|REPLACE_ME\w*|CHANGE_?ME\w*|\[(?:INSERT|YOUR|ADD) [\w ]+\]|(?i:xxx [\w ]+? goes here xxx)"
+    r"\{\{ ?\w+(?:\.\w+)? ?\}\}|\[\[ ?\w+ ?\]\]|<%=? ?\w+ ?%>|\{% ?\w+ ?%\}|<your [\w ]+>|<[A-Z][A-Z_]+>|\$\{[A-Z_]+\}|%[A-Z][A-Z_]+%|__[A-Z][A-Z_]*__|@@\w+@@|"
+    r"§\w+§|#\{\w+\}|YOUR_\w+?_HERE|REPLACE_?ME\w*|CHANGE_?ME\w*|\[(?:INSERT|YOUR|ADD) [\w ]+\]|(?i:xxx [\w ]+? goes here xxx)"
 )
-# Filler words.
-FILLER_WORDS = (
-    "adipis adipiscing aliqua aliquip amet anim aute cillum commoda commodo consectetur consectum consequat culpa culpam cupidat cupidatat "
-    "deserun deserunt dolor dolore duis ea eiusmod elit elitra enim enimo esse est et eu ex excepta excepteur exercitation fugia fugiat id in "
-    "incididunt ipsum irura irure labora labore laboris laborum lorem magna magnat minim mollit mollitia nisi non nostra nostrud nulla occaeca "
-    "occaecat officia officio pariatu pariatur proiden proident quis qui reprehenderit sed sedum sint sit sitam sunt tempor tempore ullam ullamco "
-    "ut velit velitas veniam veniat voluptate foo bar baz qux quux blah"
+# The common filler passage, its words cut to stems (they are often misspelt or inflected), and metasyntactic words.
+FILLER_STEMS = (
+    "adipi aliqu amet anim aute cillum commod conse culpa cupida deseru dolor duis eiusmo elit enim esse excep exerci fugia incidid ipsum irur labor "
+    "lorem magna minim mollit nisi nostru nulla occae offici pariat proide quis repreh sed sint sunt tempo ullam velit venia volupt"
 )
-# What error pages, script notices and left-over hints say.
-ERROR = (
-    r"(?i)^\W*(?:error:? ?)?[45]\d\d\b(?! ?[,;)\]}]).{0,100}$|not found|\bforbidden\b|bad gateway|gateway time-?out|service unavailable|internal server error|too many requests|"
-    r"authori[sz]ation required|access ?denied|acceso denegado|no ?such ?key|expired ?link|slow ?down$|request has expired|does not exist|you may not read|"
-    r"repository is closed|sign in to|something went wrong|try again later|versuchen sie es|moved or never was|gibt es nicht mehr|looked everywhere|"
-    r"has been told|could not be served|too many people want|go back to the start|link you followed|erreur interne|p.gina no encontrada|seite nicht gefunden|"
-    r"mirror is down|fetch stopped|limit exceeded|^traceback \(|^file \".*\", line \d+|^\w*(?:error|exception): |^fatal error: |^(?:fatal|error): |"
-    r"^\{\"(?:errors?|message)\":.*\}$|under maintenance|temporarily unavailable|page (?:is|was) (?:not|missing)|\"(?:reason|detail|status)\": ?\"(?:gone|\d+)\"|^gone$"
+FILLER_WORDS = "ad ea est et eu ex id in non qui sit ut foo bar baz qux quux blah"
+# Word classes, in English and the words for them that error pages of other languages use.
+FAIL = (
+    "don't doesn't didn't isn't aren't wasn't weren't hasn't haven't hadn't couldn't wouldn't shouldn't can't won't not no cannot panic\\w* fault\\w* undefined uncaught incorrect insufficient unsupported corrupt\w* disconnect\w* unable "
+    " fail\\w* error\\w* invalid denied refus\\w* reject\\w* forbidden unauthori\\w* missing lost gone remov\\w* delet\\w* moved "
+    "expir\\w* exceed\\w* time-?out timed disabled block\\w* suspend\\w* banned down offline wrong broken unknown unavailable unreachable closed maintenance overload\\w* busy "
+    "limit\\w* throttl\\w* crash\\w* abort\\w* stopped ended unexpected problem trouble sorry oops too hit\\w* erreur fehler errore erro nicht kein\\w* pas introuvable indisponible "
+    "denegad\\w* negad\\w* encontr\\w* trouv\\w* gefunden verweigert gibt interdit requis ran run restricted private"
 )
-SCRIPT = (
-    r"(?i)(?:javascript|\bscripts?\b|\bscripting\b).{0,60}(?:enabl|requir|disabled|\bon\b|allow|aktivier|page|cookies|site|archivo)|"
-    r"(?:turn on|switch|enable|activ\w*|aktivieren sie|allow|works only with) (?:\w+ )?(?:javascript|scripts?|scripting)|checking your browser|"
-    r"\benable it\b|\breload (?:the|this) page"
+THING = (
+    "page\\w* file resource\\w* object document\\w* urls? uri links? address site\\w* website server service\\w* gateway hosts? requests? response access\\w* permission\\w* account repo\\w* "
+    "branch bucket keys? session token connect\\w* network upstream proxy client users? you your log_?in sign download mirror content path remote database domain people load\\w* quota rate "
+    "process memory pointer command module package version argument operation method query copy blob something answer view read serv\\w* fetch\\w* seite datei p.gina archivo fichier serveur servidor zugriff acceso acc.s anfrage solicitud demande diese interne requested it"
 )
-HINT = (
-    r"(?i)^\W*(?:my project|project title|title|name of the library|your project)$|^\W*(?:describe|explain|say|list|add|replace|delete|write|insert|put)\b.{0,60}"
-    r"(?:\bhere\b|your choice|has to be|who should|how to run|this line|this hint|set-?up|short example)|one sentence that says|goes in this place|hint before you publish"
+SCRIPTING = "java_?script ecmascript scripts? scripting js"
+NEEDED = (
+    "enabl\\w* turn\\w* switch\\w* activ\\w* aktiv\\w* allow\\w* requir\\w* need\\w* must necessar\\w* disabled off blocked support\\w* without only habilit\\w* browser\\w* "
+    "reload refresh cookies on execut\\w* n.cessaire erforderlich ben.tigt requiere"
+)
+WRITE = "write add insert describe explain list replace put fill delete remove edit update provide enter type say give specify choose customi[sz]e change set mention name state summari[sz]e tell document show include"
+ABOUT = (
+    "here yours? this below should how who what why when which project example\\w* set-?up steps? choice short brief\\w* sentences? paragraphs? description summary title name usage "
+    "licen[cs]e install\\w* authors? contribut\\w* features? introduction code text content purpose section placeholder"
+)
+# Phrases that stand for themselves, each from a word's beginning: reason phrases of the protocol, what follows them, challenges, hints.
+PHRASES = [
+    "not ?found", "forbidden", "bad (?:gateway|request)", "unauthori[sz]ed", "gateway time-?out", "time-?out", "service unavailable", "internal server error", "too many requests",
+    "method not allowed", "access ?denied", "acceso denegado", "zugriff verweigert", "acc.s refus.", r"no ?such ?\w+", r"expired ?\w+", r"invalid ?\w+", "does(?: not|n't) exist",
+    "page (?:is|was) (?:not|missing)", "try(?: it)? (?:again|later)", "come (?:again|back|later)", "check (?:again|back|later)", "retry", r"cannot \w+", r"can not \w+", r"unable to \w+", r"failed to \w+", r"could not \w+", "panic: ", "fault: ", "authori[sz]ation required", "versuchen sie", r"r.essay\w*", r"int.ntelo", "go back", "back to",
+    "return to", "home ?page", "has been (?:told|notified|informed|logged|reported|removed|deleted|moved|disabled|blocked|suspended)", "have been (?:told|notified|informed|logged|reported)", "sign in",
+    "log in", r"looked (?:for|every)\w*", "contact (?:us|your|the)", "temporarily", "checking your browser", "you are (?:a )?human", "just a moment", "enable it", "ddos protection",
+    "goes (?:here|in)", "to be (?:written|added|filled|done|decided|determined|announced)", "coming soon", "work in progress", "under (?:construction|maintenance)", "limit exceeded", "please slow ?down", "placeholder", "fill (?:in|me)", "sample text", "dummy text",
+    "sentence that", r"traceback \(", 'file ".*", line [0-9]+',
+]
+# Whole segments: headings of templates and one-word messages.
+WHOLE = [
+    *[w + r" (?:awesome |new )?(?:project|app|library|package|product)(?:'s)?(?: (?:title|name))?" for w in ("my", "your", "the")],
+    *[w + " (?:title|name)" for w in ("project", "app", "library", "package", "product")], "titled?", "untitled", r"name of the \w+", "tbd", "tba", "gone", "removed", "slow ?down",
+]
+# Syntaxes of reports: status codes, exceptions, tool messages, members of a response body.
+REPORTS = (
+    r"^\W*(?:http\S* ?)?(?:error|status|code)?:? ?[45]\d\d\b(?! ?[,;)\]}]).{0,100}$|^(?:un\w+ )?\w*(?:error|exception): ?|^(?:fatal|error|warning)\w*(?: \w+)?: |"
+    r"^\{ ?\"(?:errors?|message|detail|status|code|reason)\" ?:.*\}$|\"(?:errors?|reason|detail|status|code|message)\" ?: ?[\"\d]"
 )
 # The members of an error message that is the body of a response.
 BODY = (
-    r"(?i)^\{ ?\"(?:errors?|message)\" ?: ?\"(?:[^\"\\]++|\\.)*+\" ?(?:, ?\"(?:documentation_?url|errors?|message|code|status|status_?code|reason|details?|request_?id|timestamp|path|title|type|url|success)\""
+    r"^\{ ?\"(?:errors?|message)\" ?: ?\"(?:[^\"\\]++|\\.)*+\" ?(?:, ?\"(?:documentation_?url|errors?|message|code|status|status_?code|reason|details?|request_?id|timestamp|path|title|type|url|success)\""
     r" ?: ?(?:\"(?:[^\"\\]++|\\.)*+\"|[\w.+-]++) ?){0,9}+\}$"
 )
 # Licence headers.
-LICENCE = r"(?i)spdx-licen[cs]e|copyright (?:\(c\) )?\d|\blicen[cs]ed? under|all rights reserved|see the licen[cs]e"
-# What ERROR, SCRIPT and HINT cannot match without, in lower case: one entry or more for every alternative of theirs, without its anchors. A text
-# without any of it is spared these three patterns and nothing else.
-SAID = [
-    r"not found", r"forbidden", r"bad gateway", r"gateway time-?out", r"service unavailable", r"internal server error", r"too many (?:requests|people want)",
-    r"authori[sz]ation required", r"access ?denied", r"acceso denegado", r"no ?such ?key", r"expired ?link", r"slow ?down", r"request has expired", r"does not exist",
-    r"you may not read", r"repository is closed", r"sign in to", r"something went wrong", r"try again later", r"versuchen sie es", r"moved or never was",
-    r"gibt es nicht mehr", r"looked everywhere", r"has been told", r"could not be served", r"go back to the start", r"link you followed", r"erreur interne",
-    r"gina no encontrada", r"seite nicht gefunden", r"mirror is down", r"fetch stopped", r"limit exceeded", r"traceback \(", r'file "', r"error: ", r"exception: ",
-    r"fatal: ", r'{"(?:errors?|message)":', r"under maintenance", r"temporarily unavailable", r"page (?:is|was) (?:not|missing)", r'"(?:reason|detail|status)": ?"', r"gone",
-    *[w + r".{0,200}(?:enabl|requir|disabled|\bon\b|allow|aktivier|page|cookies|site|archivo)" for w in ("javascript", r"s(?<!\ws)cript(?:s?|ing)\b")],
-    r"enable it\b", r"reload (?:the|this) page",
-    *[w + r" (?:\w+ )?(?:java)?script" for w in (r"turn on", r"switch", r"enable", r"activ\w*", r"aktivieren sie", r"allow", r"works only with")],
-    r"checking your browser", r"my project", r"project title", r"title[\s*/\"'`-]*(?:$|<)", r"name of the library", r"your project",
-    *[rf"{w[0]}(?<!\w{w[0]}){w[1:]}\b" + r".{0,200}(?:\bhere\b|your choice|has to be|who should|how to run|this line|this hint|set-?up|short example)"
-      for w in ("describe", "explain", "say", "list", "add", "replace", "delete", "write", "insert", "put")],
-    r"one sentence that says", r"goes in this place", r"hint before you publish",
-    *[d + rf"(?:(?<!\w{d})|(?<=error{d}))\d\d\b(?! ?[,;)\]}}])" for d in "45"],
-]
-def _bind(value: Column, use) -> Column:
-    """use(value), with the value computed once inside higher-order functions."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+LICENCE = r"spdx-licen[cs]e|copyright (?:\(c\) )?\d|\blicen[cs]ed? under|all rights reserved|see the licen[cs]e"
 
 
-def _any(entries: list[str]) -> str:
-    """One pattern for all entries, grouped by their first characters, which are literal."""
-    groups: dict[str, list[str]] = {}
-    for e in entries:
-        groups.setdefault(e[0], []).append(e[1:])
-    return "|".join(("\\" * (k in "{[(") + k) + "(?:" + "|".join(sorted(set(v))) + ")" for k, v in sorted(groups.items()))
+EDGE = "(?![a-z0-9])"
 
 
-WORD = r"A-Za-z0-9_\p{L}\p{N}"
-SAID_PATTERN = f"(?m){_any(SAID)}"
-FILLER = rf"(?i)(?<![{WORD}])(?:{_any(FILLER_WORDS.split())})(?![{WORD}])"
-# Where more than half of a segment's words are filler, two of them follow each other; words of one character do not count.
-FILLER_PAIR = rf"(?:{_any(FILLER_WORDS.split())})(?![{WORD}])(?:[^{WORD}\n]++(?:[{WORD}](?![{WORD}]))?+)++(?:{_any(FILLER_WORDS.split())})(?![{WORD}])"
-LEAST_REPEATED = 17  # characters of six words
+def _tree(parts: list[tuple[str, str, str]]) -> str:
+    """One pattern for (word, before, after) entries that begin where no letter or digit is before them, grouped by their
+    first characters; ``before`` is a look-behind in which % stands for the first character."""
+    groups: dict[str, dict[tuple[str, str], list[str]]] = {}
+    for word, before, after in parts:
+        w = word.replace("_", " ")
+        groups.setdefault(w[0], {}).setdefault((before, after), []).append(w[1:])
+    one = {k: [b.replace("%", k) + "(?:" + "|".join(sorted(set(v))) + ")" + a for (b, a), v in g.items()] for k, g in groups.items()}
+    return "(?<![a-z0-9])(?:" + "|".join(k + "(?:" + "|".join(v) + ")" for k, v in sorted(one.items())) + ")"
 
 
-def has_evidence(text: Column) -> Column:
-    """Whether any line of the text has evidence: every document is judged, and most of them are settled here."""
+def _class(words: str, before: str = "", after: str = "") -> list[tuple[str, str, str]]:
+    return [(w, before, EDGE + after) for w in words.split()]
 
-    def settled(flat: Column) -> Column:
-        def judged(known: Column) -> Column:
-            return F.exists(_lines(flat), lambda line: F.exists(_judged(line, known, False), lambda x: x["e"] > 0))
 
-        def known(low: Column) -> Column:
-            marked = flat.rlike(PLACEHOLDER) | F.contains(low, F.lit("<style"))
-            return _bind(marked, lambda m: F.struct(m.alias("marked"), (m | low.rlike(SAID_PATTERN)).alias("said"), (m | low.rlike(FILLER_PAIR)).alias("filled")))
+def _near(words: str) -> str:
+    """A word of the class within 400 characters of the line."""
+    return "(?=.{0,400}?" + _tree(_class(words)) + ")"
 
-        return _bind(_bind(F.lower(flat), known), judged)
 
-    return _bind(F.translate(text, "\r\t", "\n "), settled)
+# All in a lower-case line.
+_FILL = " ".join(s + r"\w*" for s in FILLER_STEMS.split()) + " " + FILLER_WORDS
+FILLER, FILLERS = _tree(_class(_FILL)), _tree(_class(_FILL, "", _near(_FILL)))
+_PAIRS = _class(FAIL, "", _near(THING)) + _class(THING, "", _near(FAIL)) + _class(SCRIPTING, "", _near(NEEDED)) + _class(NEEDED, "", _near(SCRIPTING))
+SAYS = "^(?:" + _tree(_class(WRITE, "", _near(ABOUT))) + "|(?:" + "|".join(WHOLE) + r")\W*$)|" + _tree(_PAIRS + [(x, "", "") for x in PHRASES]) + "|" + REPORTS
+def _could(pairs: list[tuple[str, str, str]]) -> str:
+    """SAYS with anchors that hold for any part of a line, or two words of filler."""
+    tree = pairs + [(x, "", "") for x in PHRASES] + _class(WRITE, "(?<![a-z0-9] %)", _near(ABOUT)) + _class(_FILL, "", _near(_FILL))
+    tree += [(x, "", r"""[\s*/"'`-]*(?:\W*$|<|[.!?;,])""") for x in WHOLE] + [(f"{x}\\w*(?: \\w+)?: ", "", "") for x in ("fatal", "error", "warning")]
+    return "(?m)" + _tree(tree) + r'|e(?:rror|xception):|"(?:errors?|message|detail|status|code|reason)" ?:|[45](?<![0-9].)\d\d(?![0-9])(?! ?[,;)\]}])'
 
 
-def _normal(text: Column) -> Column:
-    return F.translate(F.lower(text), "123456789\r\t", "000000000\n ")
+# What no text has a line with evidence without; and the same of a line, cheaper, as it leaves out the second word of a pair.
+COULD_TEXT, COULD = _could(_PAIRS), _could(_class(f"{FAIL} {SCRIPTING}"))
+SIGN = "(?=[{\\[<$%_@§#YRCXx])(?:" + PLACEHOLDER + "|(?i:<style))"
+TAG = r"<!--|-->|<!?[A-Za-z/?][^<>]*>"
 
 
 def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
+    return F.split(F.translate(text, "\r\t", "\n "), "\n")
 
 
-def boilerplate(documents: DataFrame, host: str = "repo") -> DataFrame:
-    """(h): hashes of (host, normalised line) that at least MIN_DIFFERENT different documents of the host share."""
-    d = documents.where("text IS NOT NULL").select(F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
-    h = F.array_distinct(F.transform(F.filter(_lines(_normal(F.col("text"))), lambda x: F.trim(x) != ""), lambda x: F.xxhash64("host", F.trim(x))))
-    d = d.select(h.alias("hs")).where("size(hs) > 0").select("hs", F.array_min("hs").alias("least"))
-    sign = F.expr("shiftleft(1L, cast(least & 63 as int))")
-    n = d.select(F.explode("hs").alias("h"), sign.alias("sign")).groupBy("h").agg(F.bit_or("sign").alias("signs"))
-    return n.where(F.bit_count("signs") >= MIN_DIFFERENT).select("h")
+def _normal(line: Column) -> Column:
+    return F.trim(F.translate(F.lower(line), "123456789", "000000000"))
 
 
 def _words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"[{WORD}]{{2,}}"), F.lit(0))
 
 
-def _bare(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, r"^[\s/#*\"'`;%-]+|[\s*/\"'`-]+$", ""))
+def _repeated(words: Column) -> Column:
+    """The same few words over and over."""
 
+    def few(w: Column) -> Column:
+        n = F.size(w)
+        return F.when(n >= 6, bind(F.size(F.array_distinct(w)), lambda d: (d * 3 <= n) & (d <= 10)) & ~F.exists(w, lambda x: ~x.rlike("^[A-Za-z]+$"))).otherwise(False)
 
-def _says(t: Column) -> Column:
-    return t.rlike(ERROR) | t.rlike(SCRIPT) | t.rlike(HINT)
+    return bind(words, few)
 
 
-def _judged(line: Column, known: Column | None = None, content: bool = True) -> Column:
-    """array of (evidence 0/1, words of content, words of scraps) of a line's segments between mark-up tags.
+def _filled(low: Column, n: Column) -> Column:
+    return (n >= 2) & low.rlike(FILLERS) & (F.regexp_count(low, F.lit(FILLER)) >= 0.5 * n)
 
-    ``known``: ``marked``, ``said`` and ``filled``, each false where the text is known to hold no placeholder or style sheet, nothing of SAID, or
-    no two filler words in a row.
-    """
-    marked, said, filled = (F.lit(True) if known is None else known[k] for k in ("marked", "said", "filled"))
-    clean = F.regexp_replace(F.regexp_replace(line, r"(?i)<style\b[^>]*>.*?</style>", " "), PLACEHOLDER, f" {MARK} ")
-    clean = F.when(marked, clean).otherwise(line)
-    segments = _bind(clean, lambda x: F.when(F.contains(x, F.lit("<")), F.split(F.regexp_replace(x, r"<!?[A-Za-z/?!-][^<>]*>", "\n"), "\n")).otherwise(F.array(x)))
 
-    def parts(s: Column) -> Column:
-        marks = F.length(s) - F.length(F.replace(s, F.lit(MARK), F.lit("")))
-        return F.struct(_words(s).alias("w"), marks.alias("m"), s.alias("s"))
+def _odd(line: Column) -> Column:
+    parts = F.split(F.regexp_replace(line, TAG, "\n"), "\n")
+    return _repeated(_words(line)) | F.when(F.contains(line, F.lit("<")), F.exists(parts, lambda x: _repeated(_words(x)))).otherwise(False)
+
+
+def possible(line: Column, n: Column) -> Column:
+    """Whether a line of n words may hold evidence: a superset of the judge's."""
+    return line.rlike(SIGN) | F.lower(line).rlike(COULD) | F.when(n >= 6, _odd(line)).otherwise(False)
+
 
-    def counts(x: Column) -> Column:
-        return F.struct(F.size(x["w"]).alias("n"), x["m"].alias("m"), x["s"].alias("s"), x["w"].alias("w"))
+def may_hold(text: Column) -> Column:
+    """Whether any line of a text is ``possible``; every text is tried whole."""
+    return text.rlike(SIGN) | F.lower(text).rlike(COULD_TEXT) | F.exists(_lines(text), lambda x: F.when(F.length(x) >= 17, _odd(x)).otherwise(False))
 
-    def evidence(x: Column) -> Column:
-        n, m = x["n"], x["m"]
-        # the same few words over and over
-        repeated = (n >= 6) & _bind(F.size(F.array_distinct(x["w"])), lambda d: (d * 3 <= n) & (d <= 10)) & ~F.exists(x["w"], lambda w: ~w.rlike("^[A-Za-z]+$"))
-        filler = filled & (n >= 2) & (F.regexp_count(x["s"], F.lit(FILLER)) >= 0.7 * n)
-        return ((m > 0) & (n <= 8 + 4 * m)) | filler | repeated
+
+def _bare(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, r"^[\s/#*\"'`;%-]+(?:(?i:todo|fixme|hint|note)\W+)?|^(?i:todo|fixme|hint|note)\W+|[\s*/\"'`-]+$", ""))
+
+
+def _judged(line: Column) -> Column:
+    """array of (evidence 0/1, words of content, words of scraps) of a line's segments between mark-up tags."""
+    clean = F.regexp_replace(F.regexp_replace(line, r"(?i)<style\b[^>]*>.*?</style>", " "), PLACEHOLDER, f" {MARK} ")
+    segments = F.split(F.regexp_replace(clean, TAG, "\n"), "\n")
+
+    def says(t: Column) -> Column:
+        return F.lower(t).rlike(SAYS)
 
     def clauses(t: Column) -> Column:
         """Words that the marks of a long segment account for."""
-        marked = F.filter(F.split(t, CLAUSE), _says)
-        own = F.aggregate(marked, F.lit(0), lambda a, x: a + F.least(F.size(_words(x)), F.lit(SPAN)))
-        return F.when(t.rlike(BODY), F.lit(2**31 - 1)).otherwise(_bind(own, lambda k: F.when(k > 0, F.greatest(k, F.lit(SPAN))).otherwise(0)))
-
-    def accounted(x: Column) -> Column:
-        n = x["n"]
-        told = F.when(n <= SPAN, _bind(_bare(x["s"]), lambda t: F.when(_says(t), n).otherwise(0))).otherwise(_bind(_bare(x["s"]), clauses))
-        return F.when(evidence(x), F.greatest(n, F.lit(1))).when(said & F.lower(x["s"]).rlike(SAID_PATTERN), F.least(told, n)).otherwise(0)
+        own = F.aggregate(F.filter(F.split(t, CLAUSE), says), F.lit(0), lambda a, x: a + F.least(F.size(_words(x)), F.lit(SPAN)))
+        return F.when(F.lower(t).rlike(BODY), F.lit(2**31 - 1)).otherwise(bind(own, lambda k: F.when(k > 0, F.greatest(k, F.lit(SPAN))).otherwise(0)))
 
     def judge(x: Column) -> Column:
-        n = x["n"]
-        own = lambda k: F.when(k > 0, 1).otherwise(0).alias("e")
-        if not content:
-            return _bind(accounted(x), lambda k: F.struct(own(k)))
-        licence = lambda k: (k == 0) & _bare(x["s"]).rlike(LICENCE)
-        plain = lambda k: F.when((n <= 2) | licence(k), 0).otherwise(F.greatest(n - k, F.lit(0)))
-        scraps = lambda k: F.when((k > 0) | (n > 2) | licence(k), 0).otherwise(F.regexp_count(x["s"], F.lit(f"[{WORD}]+")))
-        return _bind(accounted(x), lambda k: F.struct(own(k), plain(k).alias("c"), scraps(k).alias("s")))
+        s, w, m, t = x["s"], x["w"], x["m"], x["t"]
+        n = F.size(w)
+        evident = ((m > 0) & (n <= 8 + 4 * m)) | _filled(F.lower(s), n) | _repeated(w)
+        told = F.when(n <= SPAN, F.when(says(t), F.greatest(n, F.lit(1))).otherwise(0)).otherwise(clauses(t))
+        licence = F.lower(t).rlike(LICENCE)
+
+        def out(k: Column) -> Column:
+            plain = F.when((n <= 2) | ((k == 0) & licence), 0).otherwise(F.greatest(n - k, F.lit(0)))
+            scraps = F.when((k > 0) | (n > 2) | licence, 0).otherwise(F.regexp_count(s, F.lit(f"[{WORD}]+")))
+            return F.struct(F.when(k > 0, 1).otherwise(0).alias("e"), plain.alias("c"), scraps.alias("s"))
+
+        return bind(F.when(evident, F.greatest(n, F.lit(1))).otherwise(told), out)
+
+    def parts(s: Column) -> Column:
+        return F.struct(s.alias("s"), _words(s).alias("w"), (F.length(s) - F.length(F.replace(s, F.lit(MARK), F.lit("")))).alias("m"), _bare(s).alias("t"))
+
+    return F.transform(F.filter(segments, lambda s: F.trim(s) != ""), lambda s: bind(parts(s), judge))
+
+
+def _plain(line: Column, n: Column) -> Column:
+    """(c, s): words of content and of scraps of a line without evidence, as the judge counts them."""
+
+    def counted(x: Column, k: Column) -> Column:
+        low = F.lower(x)
+        licence = (F.contains(low, F.lit("licen")) | F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("all rights"))) & low.rlike(LICENCE)
+        scraps = F.when((k > 2) | licence, 0).otherwise(F.regexp_count(x, F.lit(f"[{WORD}]+")))
+        return F.struct(F.when((k <= 2) | licence, 0).otherwise(k).alias("c"), scraps.alias("s"))
 
-    worth = lambda s: (said | filled | (F.length(s) >= LEAST_REPEATED)) & (F.trim(s) != "")
-    return F.transform(F.filter(segments, worth), lambda s: _bind(_bind(parts(s), counts), judge))
+    parts = F.transform(F.split(F.regexp_replace(line, TAG, "\n"), "\n"), lambda x: bind(F.size(_words(x)), lambda k: counted(x, k)))
+    total = {k: F.aggregate(F.transform(parts, lambda x: x[k]), F.lit(0), lambda a, x: a + x) for k in "cs"}  # noqa: B023
+    return F.when(F.contains(line, F.lit("<")), F.struct(total["c"].alias("c"), total["s"].alias("s"))).otherwise(counted(line, n))
+
+
+def boilerplate(documents: DataFrame, host: str = "repo") -> DataFrame:
+    """(h): hashes of (host, normalised line) that at least MIN_DIFFERENT different documents of the host share."""
+    d = documents.where("text IS NOT NULL").select(F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
+    h = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: F.xxhash64("host", _normal(x))))
+    d = d.select(h.alias("hs")).where("size(hs) > 0").select(F.explode("hs").alias("h"), F.array_min("hs").alias("sign"))
+    return d.distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DIFFERENT).select("h")
 
 
 def residual(documents: DataFrame, host: str = "repo") -> DataFrame:
-    """(doc_id, evidence, content, scraps) of the residual of every document that has any evidence."""
-    d = documents.where(has_evidence(F.col("text"))).select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
-    lines = d.select("doc_id", "host", F.explode(_lines(F.translate("text", "\r\t", "\n "))).alias("line")).where("trim(line) <> ''")
-    judged = lines.select("doc_id", F.xxhash64("host", F.trim(_normal(F.col("line")))).alias("h"), _judged(F.col("line")).alias("j"))
-    judged = judged.select("doc_id", "h", F.expr("aggregate(j, 0, (a, x) -> a + x.e)").alias("e"), F.expr("aggregate(j, 0, (a, x) -> a + x.c)").alias("c"), F.expr("aggregate(j, 0, (a, x) -> a + x.s)").alias("s"))
-    # one pass: a line of evidence has no hash to be subtracted by
-    judged = judged.where("e > 0 OR c > 0 OR s > 0").withColumn("h", F.when(F.col("e") == 0, F.col("h")))
-    common = boilerplate(documents, host).withColumn("common", F.lit(True))
-    left = judged.join(common, "h", "left")
-    own = [F.coalesce(F.sum(F.when(F.col("common").isNull(), F.col(c))), F.lit(0)).alias(name) for c, name in (("c", "content"), ("s", "scraps"))]
-    return left.groupBy("doc_id").agg(F.sum("e").alias("evidence"), *own)
+    """(doc_id, evidence, content, scraps) of the residual of every document that may have evidence and next to no content."""
+    d = documents.where("text IS NOT NULL").select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), "text").where(may_hold(F.col("text")))
+    lines = d.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "host", F.explode(_lines(F.col("text"))).alias("line")).where("trim(line) <> ''")
+    lines = lines.withColumn("n", F.regexp_count("line", F.lit(rf"[{WORD}]{{2,}}"))).withColumn("may", possible(F.col("line"), F.col("n")))
+    rows = lines.select("doc_id", "row", F.xxhash64("host", _normal(F.col("line"))).alias("h"), F.when(F.col("may"), F.col("line")).alias("line"), F.when(~F.col("may"), _plain(F.col("line"), F.col("n"))).alias("p"))
+    rows = rows.select("doc_id", "row", "h", "line", F.coalesce("p.c", F.lit(0)).alias("c"), F.coalesce("p.s", F.lit(0)).alias("s"))
+    rows = rows.where("line IS NOT NULL OR c > 0 OR s > 0").withColumn("salt", F.expr(f"cast(pmod(row, {SALTS}) as int)"))
+    common = boilerplate(documents, host).select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("common"))
+    seen = rows.join(common, ["h", "salt"], "left")
+    own = F.col("common").isNull()
+    docs = seen.groupBy("doc_id", "row").agg(
+        F.sum(F.when(own, F.col("c")).otherwise(0)).alias("c"), F.sum(F.when(own, F.col("s")).otherwise(0)).alias("s"),
+        F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", own.alias("own")))).alias("lines"),
+    ).where(f"c <= {MAX_CONTENT} AND s <= {MAX_SCRAPS} AND size(lines) > 0")
+    judged = F.transform("lines", lambda x: F.struct(_judged(x["line"]).alias("j"), x["own"].alias("own")))
+    docs = docs.select("doc_id", "row", "c", "s", F.explode(judged).alias("j"))
+    total = {k: F.expr(f"aggregate(j.j, 0, (a, x) -> a + x.{k})") for k in "ecs"}
+    docs = docs.select("doc_id", "row", "c", "s", "j.own", total["e"].alias("je"), total["c"].alias("jc"), total["s"].alias("js"))
+    kept = F.col("own") & (F.col("je") == 0)  # of a line with evidence, only what its marks do not account for
+    return docs.groupBy("doc_id", "row").agg(
+        F.sum("je").alias("evidence"), (F.max("c") + F.sum(F.when(kept | (F.col("je") > 0), F.col("jc")).otherwise(0))).alias("content"),
+        (F.max("s") + F.sum(F.when(kept | (F.col("je") > 0), F.col("js")).otherwise(0))).alias("scraps"),
+    ).drop("row")
 
 
 def residue(documents: DataFrame, host: str = "repo") -> DataFrame:
     """(doc_id) of the documents to exclude."""
-    return residual(documents, host).where(f"evidence > 0 AND content <= {MAX_CONTENT} AND scraps <= {MAX_SCRAPS}").select("doc_id")
+    return residual(documents, host).where(f"evidence > 0 AND content <= {MAX_CONTENT} AND scraps <= {MAX_SCRAPS}").select("doc_id").distinct()
 
 
 def without_residue(documents: DataFrame, host: str = "repo") -> DataFrame:

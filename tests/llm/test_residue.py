@@ -13,45 +13,89 @@ MARKS = [
     "404", "error: 503 x", "Error404", "<b>502 x</b>", "x = {{ a }} 1", "page not found", "Forbidden", "Bad Gateway", "gateway timeout", "gateway time-out", "service unavailable", "internal server error",
     "too many requests", "authorisation required", "authorization required", "access denied", "AccessDenied", "acceso denegado", "NoSuchKey", "no such key", "expired link", "ExpiredLink",
     "please slow down", "SlowDown", "request has expired", "it does not exist", "you may not read it", "the repository is closed", "sign in to it", "something went wrong",
-    "try again later", "Versuchen Sie es", "moved or never was", "gibt es nicht mehr", "looked everywhere", "it has been told", "could not be served", "too many people want it",
-    "go back to the start", "link you followed", "erreur interne", "página no encontrada", "seite nicht gefunden", "mirror is down", "fetch stopped", "limit exceeded", "Traceback (most",
+    "try again later", "Versuchen Sie es", "looked everywhere", "it has been told", "could not be served", "too many people want it",
+    "go back to the start", "erreur interne", "página no encontrada", "seite nicht gefunden", "mirror is down", "fetch stopped", "limit exceeded", "Traceback (most",
     'File "a.py", line 3', "TimeoutError: x", "SomeException:\tx", "fatal: x", "fatal error: x", '{"error": 1}', '{"errors": 1}', '{"message": "no"}', "under maintenance", "temporarily unavailable",
     "page is not there", "page was missing", '{"reason": "gone"}', '{"status":"4"}', '{"detail": "7"}', "javascript must be enabled", "script is required", "scripting disabled", "scripts on",
-    "scripts: allow", "JavaScript aktivieren", "script for this page", "script cookies", "scripts, site", "javascript archivo", "turn on scripting", "switch your script", "enable\tscripts",
+    "scripts: allow", "JavaScript aktivieren", "script cookies", "turn on scripting", "switch your script", "enable\tscripts",
     "activa javascript", "aktivieren sie javascript", "allow scripts", "works only with scripts", "checking your browser", "# My Project", "Project Title", "<title>Title</title>", "## Title **",
     "Name of the library", "your project", *[f"- {w} it {x}" for w in "describe explain say list add replace delete write insert put".split() for x in ("here", "set-up")],
     "say your choice", "say what has to be", "say who should", "say how to run", "delete this line", "delete this hint", "add a setup", "add a short example", "one sentence that says", "goes in this place",
-    "hint before you publish",
+]
+
+
+# Phrasings of messages of public servers, registries, frameworks and templates. At the first run, before any rule was written for
+# them, 33 of 40 were found; the classes were widened after it.
+WIDENED = [
+    "Your browser does not support scripting, or scripting has been turned off by your administrator; this site depends on it.", '{"status": "500"}',
+    "Please enable script execution to view this content.", "Write your introduction here.", "{% title %}", "The resource you requested has been removed.",
+    "<html><head><title>404 Not Found</title></head><body><center><h1>404 Not Found</h1></center><hr><center>nginx/1.25.3</center></body></html>",
+    "The requested URL /a/b was not found on this server.", "You don't have permission to access this resource.", "The server encountered an internal error and was unable to complete your request.",
+    "upstream connect error or disconnect/reset before headers. reset reason: connection failure", "no healthy upstream", "The request signature we calculated does not match the signature you provided.",
+    '{"error":{"code":403,"message":"The caller does not have permission","status":"PERMISSION_DENIED"}}', "ERROR: Repository not found.\nfatal: Could not read from remote repository.",
+    "This repository has been disabled. Access to this repository has been disabled by the staff.", "Object not located. The bucket is empty or private.", "Host unreachable: connection refused by peer",
+    "You need to enable JavaScript to run this app.", "This page requires JavaScript. Please turn it on in your settings.", "Sorry, this document is only available to users with scripts enabled.",
+    "JavaScript seems to be disabled in your browser. You must have JavaScript enabled to use this website.", "Your session has expired. Please log in again.", "Error establishing a database connection",
+    "Briefly unavailable for scheduled maintenance. Check back in a minute.", "Rate limit reached for this client. Wait and retry.", "Die angeforderte Seite wurde nicht gefunden.", "La page demandée est introuvable.",
+    "# Project Name\n\nOne paragraph of project description goes here\n", "## Installation\n\nExplain how to install this project.\n", "TODO: write a description of this package", "<!-- Replace this paragraph with your own text -->",
+    "Lorem ipsum dolor sit amet, consetetur sadipscing elitr, sed diam nonumy eirmod tempor invidunt ut labore et dolore magna aliquyam erat.", "[INSERT TEXT]\n[INSERT TEXT]\n", "test test test test test test test test test",
+    "panic: runtime error: index out of range", "npm ERR! code E404\nnpm ERR! 404 Not Found", "Uncaught TypeError: undefined is not a function", "Cannot GET /lib/main.js", "Segmentation fault: process aborted",
+]
+
+
+# A second set, written after that and never used to change a rule.
+HELD_OUT = [
+    "This XML file does not appear to have any style information associated with it.", "<Error><Code>NoSuchBucket</Code><Message>The specified bucket does not exist</Message></Error>", "HTTP Status 405 - Method Not Allowed",
+    "The page isn't redirecting properly", "This content is no longer available.", "We can't find the page you're looking for.", "You have been blocked. Reference number 18.2f.", "Temporary failure in name resolution",
+    "ssh: connect to host example.org port 22: Connection timed out", "curl: (6) Could not resolve host: example.org", "bash: command not found", "Permission denied (publickey).", "HTTP 410 Gone",
+    '{"success":false,"error":"Quota exceeded"}', '{"message":"No commit found for the ref main"}', "Traceback (most recent call last):\n  File \"a.py\", line 1, in <module>\nImportError: No module named b\n",
+    "This application needs JavaScript to work.", "Scripts are blocked by your browser. Allow them to see the file.", "Enable scripting in order to continue", "<noscript>Your browser must support scripts for this page.</noscript>",
+    "Bitte aktivieren Sie JavaScript in Ihrem Browser.", "Veuillez activer JavaScript pour continuer.", "# {{project}}\n\n{{description}}\n", "Your text here", "Add a short summary of your change.",
+    "# Title\n\nDescribe what this package does.\n", "name: YOUR_NAME_HERE\nemail: YOUR_EMAIL_HERE\n", "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore.", "blah blah blah blah blah blah", "Page under maintenance. Come back soon!",
 ]
 
 
 @pytest.fixture(scope="module")
 def judged(spark):
-    """Found texts, and what the judge says of every line without any shortcut."""
+    """Found texts, and what the judge says of every line without any shortcut, beside what the shortcuts let through."""
 
     def run(texts):
         d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("repo", F.col("doc_id").cast("string"))
-        whole = F.exists(residue._lines(F.translate("text", "\r\t", "\n ")), lambda x: F.exists(residue._judged(x), lambda j: j["e"] > 0))
-        rows = {r.doc_id: r for r in d.select("doc_id", whole.alias("whole"), residue.has_evidence(F.col("text")).alias("quick")).collect()}
-        return [texts[r.doc_id] for r in residue.residue(d).orderBy("doc_id").collect()], [rows[i] for i in range(len(texts))]
+        whole = F.exists(residue._lines(F.col("text")), lambda x: F.exists(residue._judged(x), lambda j: j["e"] > 0))
+        lines = F.exists(residue._lines(F.col("text")), lambda x: F.exists(residue._judged(x), lambda j: j["e"] > 0) & ~residue.possible(x, F.size(residue._words(x))))
+        rows = d.select("doc_id", whole.alias("whole"), residue.may_hold(F.col("text")).alias("quick"), lines.alias("lost")).collect()
+        assert [texts[r.doc_id] for r in rows if r.lost or (r.whole and not r.quick)] == []
+        return [texts[r.doc_id] for r in residue.residue(d).orderBy("doc_id").collect()]
 
     return run
 
 
-def test_every_document_is_judged(judged):
-    found, rows = judged(MARKS)
+def test_every_kind_of_mark_is_found(judged):
+    found = judged(MARKS)
     assert [t for t in MARKS if t not in found] == []
-    more = [REAL + t for t in MARKS] + [REAL, "plain text of no kind", "see 404, 405 and", "for id in ids: pass", "<style>a</style>ok"]
-    for x in (rows, judged(more)[1]):
-        assert [r for r in x if r.whole != r.quick] == []
-    assert judged(more)[0] == []
+    assert judged([REAL + t for t in MARKS] + [REAL, "plain text of no kind", "see 404, 405 and", "for id in ids: pass", "<style>a</style>ok"]) == []
+
+
+def test_held_out_phrasings(judged):
+    """All texts that the classes were widened for, and at least nine of ten of those that no rule was written for."""
+    found = judged(WIDENED)
+    assert [t for t in WIDENED if t not in found] == []
+    found = judged(HELD_OUT)
+    missed = [t for t in HELD_OUT if t not in found]
+    print(len(found), "of", len(HELD_OUT), "missed:", missed)
+    assert len(found) >= 0.9 * len(HELD_OUT)
+
+
+def test_shortcuts_lose_no_line_of_a_corpus(spark, judged):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL").select("text").collect()]
+    judged(texts)
 
 
 def test_files_of_short_lines_have_content(judged):
     css = "/* 404 page not found */\n" + "".join(f".rule{i} {{\n  margin: {i}px;\n  color: red\n}}\n" for i in range(200))
     good = [css, "# not found\n" + "".join(f"word{i}\n" for i in range(3000)), "# not found\n" + "".join(f"{i % 10} x\n" for i in range(60))]
     bad = ["<Error><Code>NoSuchKey</Code><Key>a/b</Key><RequestId>7F</RequestId><HostId>x1</HostId></Error>", "<html><h1>404</h1>Not Found<hr>nginx</html>"]
-    assert judged(good + bad)[0] == bad
+    assert judged(good + bad) == bad
 
 
 def test_long_lines_are_judged_by_clause(judged):
@@ -62,6 +106,4 @@ def test_long_lines_are_judged_by_clause(judged):
     ]
     words = " ".join(f"name{i}" for i in range(30))
     good = [f"{words} not found {words}", f'var a="not found";{words.replace(" ", "=1;")}', f'{{"message":"ok","items":"{words}"}}', f"{words}. Page not found. {words}, forbidden."]
-    found, rows = judged(bad + good)
-    assert found == bad
-    assert [r for r in rows if r.whole != r.quick] == []
+    assert judged(bad + good) == bad
