@@ -14,36 +14,44 @@ from bookweave.operators import lifecycle as lc
 TICK = 100  # fixed value: the ladder's tick
 
 
-def applied(feed: lc.Feed) -> DataFrame:
-    """(dl, seq, type, applied): whether each message changed a book. A replace counts as applied if its new half did."""
+def _settled(feed: lc.Feed) -> DataFrame:
+    """Events with ``ok``: whether they took effect. Only refs born by a replace are looked up among the void ones."""
     s = feed.events().where(f"grp <> {lc.MULTI}")
-    gone = lc.void_births(feed).withColumn("_void", F.lit(True))
-    e = s.join(gone, ["dl", "ref"], "left")
-    valid = F.when(F.col("grp") == lc.REPLACED, F.col("_void").isNull()).otherwise(F.col("valid"))
     birth = F.col("kind") <= lc.BORN
-    ok = F.when(birth, valid & ~F.col("open")).otherwise(F.col("open") & ((F.col("grp") != lc.REPLACED) | F.col("_void").isNull()))
+    effect = F.when(birth, F.col("valid") & ~F.col("open")).otherwise(F.col("open"))
+    plain = s.where(f"grp <> {lc.REPLACED}").withColumn("ok", effect)
+    heirs = s.where(f"grp = {lc.REPLACED}").join(lc.void_births(feed).withColumn("_void", F.lit(True)), ["dl", "ref"], "left")
+    return plain.unionByName(heirs.withColumn("ok", effect & F.col("_void").isNull()).drop("_void"))
+
+
+def applied(feed: lc.Feed) -> DataFrame:
+    """(dl, seq, kind, applied): whether each message changed a book. A replace counts as applied if its new half did.
+
+    ``kind``: A, R (reduced), D or U; of a full store the message's own type, F counted as A."""
     name = F.expr(f"CASE kind WHEN {lc.ADD} THEN 'A' WHEN {lc.REDUCE} THEN 'R' WHEN {lc.DELETE} THEN 'D' ELSE 'U' END")
-    rows = e.where(f"kind <> {lc.KILL} OR other IS NULL").select("dl", F.expr("sk div 2").alias("seq"), name.alias("kind"), ok.alias("applied"))
-    return rows
+    if "type" in feed.events().columns:
+        name = F.when(F.col("type") == "F", "A").otherwise(F.col("type"))
+    return _settled(feed).where(f"kind <> {lc.KILL} OR other IS NULL").select("dl", F.expr("sk div 2").alias("seq"), name.alias("kind"), F.col("ok").alias("applied"))
 
 
-def deltas(feed: lc.Feed) -> DataFrame:
-    """(dl, seq, side 'B'/'S', price, shares, orders): the change each effective event makes to its price level."""
-    s = feed.events().where(f"grp <> {lc.MULTI}")
-    gone = lc.void_births(feed).withColumn("_void", F.lit(True))
-    e = s.join(gone, ["dl", "ref"], "left").where(f"NOT (grp = {lc.REPLACED} AND _void IS NOT NULL)").drop("_void")
+def deltas(feed: lc.Feed, extra: list[str] | None = None) -> DataFrame:
+    """(dl, seq, side 'B'/'S', price, shares, orders): the change each effective event makes to its price level.
+
+    The side is an add's own or carried from it to what follows; only events of orders that a replace bore are joined to get it."""
+    e = _settled(feed).where("ok")
     birth = F.col("kind") <= lc.BORN
-    e = e.where(F.when(birth, ~F.col("open") & F.col("valid")).otherwise(F.col("open")))
     start = F.when(birth, F.col("sk")).otherwise(F.col("born"))
     out = (F.col("kind") >= lc.DELETE) | (F.col("qty") >= F.col("left"))
     shares = F.when(birth, F.col("qty")).otherwise(-F.when(out, F.col("left")).otherwise(F.col("qty")))
     orders = F.when(birth, 1).otherwise(F.when(out, -1).otherwise(0)).cast("bigint")
-    d = e.select("dl", F.expr("sk div 2").alias("seq"), "price", shares.alias("shares"), orders.alias("orders"), start.alias("_start"), "side")
-    # the side of an add is its own; of what follows, that of the order's birth
-    adds = feed.events().where(f"kind = {lc.ADD} AND grp <> {lc.MULTI} AND NOT open").select("dl", F.col("sk").alias("_start"), F.col("side").alias("_s"))
-    heirs = lc.replace_sides(feed).select("dl", (F.col("seq") * 2 + 1).alias("_start"), F.col("side").alias("_s"))
-    d = d.join(adds.unionByName(heirs), ["dl", "_start"])
-    return d.select("dl", "seq", F.when(F.col("_s"), "B").otherwise("S").alias("side"), "price", "shares", "orders")
+    side = F.when(birth, F.col("side")).otherwise(F.col("pside"))
+    cols = ["dl", "seq", "price", "shares", "orders", *(extra or [])]
+    d = e.select("dl", F.expr("sk div 2").alias("seq"), "price", shares.alias("shares"), orders.alias("orders"), start.alias("_start"), side.alias("_s"), *(extra or []))
+    own = d.where("_start % 2 = 0").select(*cols, "_s")
+    heirs = d.where("_start % 2 = 1").drop("_s").withColumn("_by", F.expr("_start div 2"))
+    heirs = heirs.join(lc.replace_sides(feed).select("dl", F.col("seq").alias("_by"), F.col("side").alias("_s")), ["dl", "_by"]).select(*cols, "_s")
+    d = own.unionByName(heirs)
+    return d.select("dl", "seq", F.when(F.col("_s"), "B").otherwise("S").alias("side"), "price", "shares", "orders", *(extra or []))
 
 
 def levels(feed: lc.Feed) -> DataFrame:
@@ -117,9 +125,9 @@ def replace_chains(feed: lc.Feed) -> DataFrame:
     return lc.replace_sides(feed).select(*lc.split_day_locate(), "seq", F.when(F.col("side"), "B").otherwise("S").alias("side"))
 
 
-def trades(messages: DataFrame, feed: lc.Feed) -> DataFrame:
-    """The tape: every execution that met a resting order, clamped to its size, at the message's price (C) or the order's (E)."""
-    m = messages.where("decoded AND type IN ('E', 'C')").groupBy("trade_day", "locate", "seq").agg(F.max("type").alias("type"), F.max("price").alias("own"), F.max("match").alias("match"))
-    d = deltas(feed).select(*lc.split_day_locate(), "seq", "side", "price", (-F.col("shares")).alias("shares"))
-    j = d.join(m, ["trade_day", "locate", "seq"])
-    return j.select("trade_day", "locate", "seq", "side", F.when(F.col("type") == "C", F.col("own")).otherwise(F.col("price")).alias("price"), "shares", "match")
+def trades(feed: lc.Feed) -> DataFrame:
+    """The tape: every execution that met a resting order, clamped to its size, at the message's price (C) or the order's
+    (E); from a full store."""
+    d = deltas(feed, lc.EXTRA).where("type IN ('E', 'C')")
+    price = F.when(F.col("type") == "C", F.col("paid")).otherwise(F.col("price"))
+    return d.select(*lc.split_day_locate(), "seq", "side", price.alias("price"), (-F.col("shares")).alias("shares"), "match")

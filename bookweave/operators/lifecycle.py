@@ -9,7 +9,7 @@ The feed of one trade day and locate is an ordered program over order refs. Two
 
 ``build_store`` does the one wide shuffle: it removes repeated frames, splits a replace into the removal of the old
 ref and the birth of the new one, evaluates refs with a single birth in closed form with window functions, and writes
-everything hash-bucketed by ref, so every later join on the ref is local. ``settle`` runs the fixpoint. Refs with
+everything hash-bucketed by ref, so every later join on the ref is local. ``settle`` runs the fixpoint (pointer doubling along chains). Refs with
 several births (re-use, repeated adds, ``next == orig``) need the true ordered fold; they go through a streaming
 fold over sorted rows whose memory does not grow with the group.
 
@@ -35,8 +35,8 @@ from bookweave.session import buckets, scratch_path, write_bucketed, written
 ADD, BORN, REDUCE, DELETE, KILL = 0, 1, 2, 3, 4  # kinds of events; BORN and KILL are the two halves of a replace
 BOOK_TYPES = ("A", "F", "E", "C", "X", "D", "U")
 SINGLE, REPLACED, MULTI, FOLDED = 0, 1, 2, 3  # groups of refs in the store
-LINKS = 3  # links of a chain of replaces that one round follows
 EVENT = ["dl", "ref", "sk", "kind", "qty", "price", "side", "other"]
+EXTRA = ["type", "paid", "match"]  # of a full store: the message's own type, price and match number
 _L = 4294967296
 
 
@@ -54,15 +54,17 @@ def book_messages(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("decoded") & F.col("type").isin(*BOOK_TYPES) & F.col("seq").isNotNull())
 
 
-def order_events(messages: DataFrame) -> DataFrame:
+def order_events(messages: DataFrame, full: bool = False) -> DataFrame:
     """One row per effect on one ref; ``sk`` orders them (twice the seq, plus one for the birth half of a replace)."""
     m = book_messages(messages).where("trade_day IS NOT NULL AND locate IS NOT NULL AND ref IS NOT NULL")
     q = "coalesce(shares, 0L)"
 
+    more = ", 'type', type, 'paid', price, 'match', match" if full else ""
+
     def half(ref: str, add: int, kind: str, qty: str, price: str, side: str, other: str) -> str:
         return (
             f"named_struct('ref', {ref}, 'sk', seq * 2L + {add}L, 'kind', cast({kind} as tinyint), 'qty', {qty}, "
-            f"'price', {price}, 'side', {side}, 'other', {other})"
+            f"'price', {price}, 'side', {side}, 'other', {other}{more})"
         )
 
     none = "cast(null as bigint)"
@@ -84,8 +86,8 @@ def order_events(messages: DataFrame) -> DataFrame:
 def _closed_form(events: DataFrame) -> DataFrame:
     """Drop repeats; add ``grp`` and, for refs with at most one birth, whether the ref was open just before each event.
 
-    ``left``: shares that rested before a mutation; ``born``: the birth of the order it acts on; ``price`` of a mutation
-    is that order's. For the removal half of a replace: ``psk``/``pside`` = birth and side of the order it replaces.
+    ``left``: shares that rested before a mutation; ``born``: the birth of the order it acts on; ``price`` and ``pside`` of a mutation
+    are that order's price and side (null: inherited through a replace). For the removal half of a replace: ``psk`` = birth of the order it replaces.
     All windows share one sort by (dl, ref, sk).
     """
     key = Window.partitionBy("dl", "ref")
@@ -118,14 +120,15 @@ def _closed_form(events: DataFrame) -> DataFrame:
     )
     grp = F.when(F.col("_births") > 1, MULTI).when(F.col("_born") > 0, REPLACED).otherwise(SINGLE)
     kill, one = F.col("kind") == KILL, F.col("_births") <= 1
-    own = [F.when(one & ~birth, F.col("_pprice")).otherwise(F.col("price")).alias(c) if c == "price" else F.col(c) for c in EVENT]
+    cols = [c for c in (*EVENT, *EXTRA) if c in events.columns]
+    own = [F.when(one & ~birth, F.col("_pprice")).otherwise(F.col("price")).alias(c) if c == "price" else F.col(c) for c in cols]
     return e.select(
         *own,
         F.when(one, is_open).alias("open"),
         F.when(one & is_open & ~birth, (F.col("_pqty") - F.coalesce("_sum", F.lit(0))).cast("bigint")).alias("left"),
         F.when(one & ~birth, F.col("_psk")).alias("born"),
         F.when(kill, F.col("_psk")).alias("psk"),
-        F.when(kill, F.col("_pside")).alias("pside"),
+        F.when(one & ~birth, F.col("_pside")).alias("pside"),
         F.lit(True).alias("valid"),
         grp.cast("int").alias("grp"),
     )
@@ -154,7 +157,7 @@ def fold(rows: DataFrame) -> DataFrame:
                 paid.append(cost if act else None if pd.isna(price) else int(price))
                 kill = kind == KILL and is_open
                 psk.append(since if kill else None)
-                pside.append(side if kill else None)
+                pside.append(side if act else None)
                 if kind <= BORN:
                     if not is_open and valid:
                         left, since, side, cost = int(qty), sk, (None if kind == BORN else bool(s)), (None if pd.isna(price) else int(price))
@@ -166,9 +169,9 @@ def fold(rows: DataFrame) -> DataFrame:
             ints = {"left": rest, "born": born, "psk": psk, "price": paid}
             yield b.assign(open=was, pside=pd.array(pside, dtype="boolean"), **{k: pd.array(v, dtype="Int64") for k, v in ints.items()})
 
-    cols = [*EVENT, "valid"]
-    if "batch" in rows.columns:
-        cols, out = [*cols, "batch"], out + ", batch int"
+    kinds = dict(rows.dtypes)
+    more = [c for c in (*EXTRA, "batch") if c in kinds]
+    cols, out = [*EVENT, "valid", *more], out + "".join(f", {c} {kinds[c]}" for c in more)
     # by a hash of the key, not the key: a repartition equal to the store's buckets would be planned away, and with
     # no join above it the bucketed scan too
     parts = rows.select(*cols).repartition(buckets(rows.sparkSession), F.xxhash64("dl", "ref"))
@@ -178,26 +181,28 @@ def fold(rows: DataFrame) -> DataFrame:
 @dataclass
 class Feed:
     """A settled feed. ``name``: the bucketed table of events (``grp`` MULTI holds the raw rows of folded refs,
-    FOLDED their settled rows); ``edges``: (dl, seq, psk, pside, open) of every replace; ``void``: replaces that found
-    no open order at their turn."""
+    FOLDED their settled rows); ``tops``: every replace of a ref with one birth (dl, seq, new_ref, bad, ext, side), see
+    ``_tops``; ``void``: replaces that found no open order at their turn (dl, seq, new_ref); ``void_refs``: their new refs."""
 
     spark: SparkSession
     name: str
-    edges: DataFrame
+    tops: DataFrame
     void: DataFrame
+    void_refs: DataFrame
+    many: bool
     rounds: int
 
     def events(self) -> DataFrame:
         return self.spark.table(self.name)
 
 
-def build_store(messages: DataFrame, batches: int = 1) -> str:
+def build_store(messages: DataFrame, batches: int = 1, full: bool = False) -> str:
     """One shuffle: events hash-partitioned by ref, evaluated in closed form, written bucketed by ref.
 
-    ``batches``: number of change batches of equal seq range per trade day that the store is cut into.
+    ``batches``: number of change batches of equal seq range per trade day that the store is cut into; ``full``: keep EXTRA.
     """
     spark = messages.sparkSession
-    events = order_events(messages).repartition(buckets(spark), "dl", "ref")
+    events = order_events(messages, full).repartition(buckets(spark), "dl", "ref")
     rows = _closed_form(events)
     part = ["grp"]
     if batches > 1:
@@ -210,72 +215,92 @@ def build_store(messages: DataFrame, batches: int = 1) -> str:
     return write_bucketed(rows, ["dl", "ref"], "events", part)
 
 
-def settle(spark: SparkSession, name: str, max_rounds: int = 1000) -> Feed:
-    """Fixpoint over the foreign keys between refs: a replace whose old ref is not open gives birth to nothing, which
-    orphans the events of the new ref and with them further replaces. Each round semi-joins the replaces with the
-    void ones of the round before (and folds refs with several births again); it ends when nothing changes.
+def _climb(cur: DataFrame, what: str) -> tuple[DataFrame, int]:
+    """Pointer doubling. cur: dl, seq, up (the replace that bore the order this one replaces, null at the top), bad, ext, side, and
+    other columns. Each row takes over what is above it until no row points up: ``bad`` if any replace of its chain is,
+    ``side`` of the order the chain began with, or ``ext``, the replace outside of cur that its chain begins with.
 
-    Rounds needed: the length of the longest chain of void replaces over LINKS, plus one or two. Each round touches the
-    replaces and the folded refs only. Starting from "every replace worked" any fixpoint is the sequential result, because a replace
-    depends on earlier ones only.
+    A job doubles twice, so a chain of n links takes log4(n) of them; only rows that still point up are joined.
     """
-    store = spark.table(name)
-    batched = "batch" in store.columns
-    edge = ["dl", F.expr("sk div 2").alias("seq"), "psk", "pside", "open", F.col("other").alias("new_ref")]
-    single = written(store.where(f"grp <> {MULTI} AND kind = {KILL}").select(*edge), "edges")
-    multi = store.where(f"grp = {MULTI}")
-    many = len(multi.take(1)) > 0
+    keep = [c for c in cur.columns if c not in ("up", "bad", "ext", "side")]
 
-    def folded(void: DataFrame | None) -> DataFrame:
-        rows = multi.select(*EVENT, *["batch"] * batched)
-        if void is None:
-            return fold(rows.withColumn("valid", F.lit(True)))
-        bad = void.select("dl", (F.col("seq") * 2 + 1).alias("sk"), F.lit(False).alias("_bad"))
-        return fold(rows.join(bad, ["dl", "sk"], "left").withColumn("valid", F.col("_bad").isNull() | (F.col("kind") != BORN)))
+    def double(c: DataFrame) -> DataFrame:
+        par = c.select("dl", F.col("seq").alias("up"), F.col("up").alias("_up"), F.col("bad").alias("_bad"), F.col("ext").alias("_ext"), F.col("side").alias("_side"), F.lit(True).alias("_in"))
+        j = c.where("up IS NOT NULL").join(par, ["dl", "up"], "left")
+        return c.where("up IS NULL").unionByName(
+            j.select(*keep, F.when(~F.col("_bad"), F.col("_up")).alias("up"), F.coalesce("_bad", F.lit(False)).alias("bad"), F.when(F.col("_in"), F.col("_ext")).otherwise(F.col("up")).alias("ext"), F.col("_side").alias("side"))
+        )
 
-    # what a set of replaces is recognised by: their number and two sums over hashes, taken while it is written
-    mark = [F.count("*").alias("n"), F.sum(F.xxhash64("dl", "seq").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("seq", "dl")).alias("x")]
-    void, last, rounds = None, None, 0
-    here = ["dl", "seq", "new_ref"]
-    own = single.where("NOT open").select(*here)
-    heirs = single.where("open AND psk % 2 = 1").withColumn("_p", F.expr("psk div 2"))
+    jobs = 0
     while True:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-        other = None
-        if many:
-            other = folded(void).where(f"kind = {KILL} AND NOT open").select("dl", F.expr("sk div 2").alias("seq"), F.col("other").alias("new_ref"))
-            other = written(other, "void")
-        lost = void
-        for _ in range(LINKS):
-            known = lost if other is None else other if lost is None else lost.unionByName(other)
-            lost = own
-            if known is not None:
-                up = known.select("dl", F.col("seq").alias("_p"))
-                lost = own.unionByName(heirs.join(up, ["dl", "_p"], "left_semi").select(*here))
         seen = Observation()
-        void = written((lost if other is None else lost.unionByName(other)).observe(seen, *mark), "void")
-        got = seen.get
-        if got == last or got["n"] == 0:
-            break
-        last = got
-    edges = single.drop("new_ref")
-    if many:
-        fo = folded(void).withColumn("grp", F.lit(FOLDED)).select(*store.columns)
-        write_bucketed(fo.repartition(buckets(spark), "dl", "ref"), ["dl", "ref"], "events", ["batch", "grp"] if batched else ["grp"], table=name)
-        more = spark.table(name).where(f"grp = {FOLDED} AND kind = {KILL}")
-        edges = edges.unionByName(more.select("dl", F.expr("sk div 2").alias("seq"), "psk", "pside", "open"))
-    return Feed(spark, name, edges, void, rounds)
+        cur = written((double(double(cur)) if jobs else cur).observe(seen, F.count("up").alias("n")), what)
+        if not seen.get["n"]:
+            return cur, jobs
+        jobs += 1
+
+
+def _tops(single: DataFrame) -> tuple[DataFrame, int]:
+    """What becomes of the replaces of refs with one birth, as far as it does not depend on other refs: ``bad`` if some
+    replace of the chain above found no order in any case; ``ext``: the replace of a ref with several births that the chain
+    begins with, on which the rest depends; ``side`` of the order it began with otherwise."""
+    start = single.select(
+        "dl", "seq", "new_ref", F.when(F.col("open") & (F.col("psk") % 2 == 1), F.expr("psk div 2")).alias("up"), (~F.col("open")).alias("bad"),
+        F.lit(None).cast("bigint").alias("ext"), F.when(F.col("psk") % 2 == 0, F.coalesce("pside", F.lit(False))).alias("side"),
+    )
+    return _climb(start, "tops")
+
 
+def settle(spark: SparkSession, name: str, max_rounds: int = 1000) -> Feed:
+    """Fixpoint over the foreign keys between refs: a replace whose old ref is not open gives birth to nothing, which
+    orphans the events of the new ref and with them further replaces.
 
-def settled_feed(messages: DataFrame, batches: int = 1) -> Feed:
-    return settle(messages.sparkSession, build_store(messages, batches))
+    The chains of replaces through refs with one birth do not depend on anything else: they are climbed once by pointer
+    doubling, in log4(longest chain) jobs. What remains is a fixpoint over the refs with several births: each round folds
+    them again with the void replaces of the round before, found by a semi-join on the tops of the chains; it ends when the void
+    replaces of these refs stay the same. A chain that passes through k such refs takes k + 1 rounds at most. Starting from
+    "every replace worked" any fixpoint is the sequential result, because a replace depends on earlier ones only.
+    """
+    store = spark.table(name)
+    extra = [c for c in (*EXTRA, "batch") if c in store.columns]
+    tops, rounds = _tops(store.where(f"grp <> {MULTI} AND kind = {KILL}").select("dl", F.expr("sk div 2").alias("seq"), "psk", "pside", "open", F.col("other").alias("new_ref")))
+    multi = store.where(f"grp = {MULTI}").select(*EVENT, *extra)
+    many = len(multi.take(1)) > 0
+    void = tops.where("bad").select("dl", "seq", "new_ref")
+    # what a set of replaces is recognised by: their number and two sums over hashes, taken while it is written
+    lost = F.col("kind").eqNullSafe(KILL) & ~F.col("open")
+    mark = [F.count_if(lost).alias("n"), F.sum(F.when(lost, F.xxhash64("dl", "sk").cast("decimal(38,0)"))).alias("s"), F.bit_xor(F.when(lost, F.xxhash64("sk", "dl"))).alias("x")]
+    if many:
+        bad, last = void, None
+        while True:
+            if rounds > max_rounds:
+                raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+            rounds += 1
+            seen = Observation()
+            gone = bad.select("dl", (F.col("seq") * 2 + 1).alias("sk"), F.lit(True).alias("_bad"))
+            rows = multi.join(gone, ["dl", "sk"], "left").withColumn("valid", F.col("_bad").isNull() | (F.col("kind") != BORN)).drop("_bad")
+            folded = written(fold(rows).observe(seen, *mark), "folded")
+            got = seen.get
+            if got == last:
+                break
+            last = got
+            other = folded.where(f"kind = {KILL} AND NOT open").select("dl", F.expr("sk div 2").alias("seq"), F.col("other").alias("new_ref"))
+            under = tops.join(other.select("dl", F.col("seq").alias("ext")), ["dl", "ext"], "left_semi").select("dl", "seq", "new_ref")
+            bad = void.unionByName(under).unionByName(other)
+        void = written(bad, "void")
+        out = folded.withColumn("grp", F.lit(FOLDED)).select(*store.columns)
+        write_bucketed(out.repartition(buckets(spark), "dl", "ref"), ["dl", "ref"], "events", ["batch", "grp"] if "batch" in extra else ["grp"], table=name)
+    refs = written(void.select("dl", F.col("new_ref").alias("ref")).where("ref IS NOT NULL").distinct(), "voidrefs")
+    return Feed(spark, name, tops, void, refs, many, rounds)
+
+
+def settled_feed(messages: DataFrame, batches: int = 1, full: bool = False) -> Feed:
+    return settle(messages.sparkSession, build_store(messages, batches, full))
 
 
 def void_births(feed: Feed) -> DataFrame:
     """Refs whose single birth was a replace that found nothing: (dl, ref)."""
-    return feed.void.select("dl", F.col("new_ref").alias("ref")).where("ref IS NOT NULL").distinct()
+    return feed.void_refs
 
 
 def orphan_mutations(feed: Feed) -> DataFrame:
@@ -305,21 +330,18 @@ def known_orders(feed: Feed) -> DataFrame:
 
 
 def replace_sides(feed: Feed) -> DataFrame:
-    """(dl, seq, side) of every replace that worked: the side of the order its chain began with.
-
-    Pointer doubling over the replaces: after k rounds each points 2^k links up, so a chain of n links needs log2(n)
-    rounds.
-    """
-    e = feed.edges.where("open AND psk IS NOT NULL").join(feed.void.select("dl", "seq"), ["dl", "seq"], "left_anti")
-    cur = e.select("dl", "seq", F.when(F.col("pside").isNull(), F.expr("psk div 2")).alias("up"), F.col("pside").alias("side"))
-    while True:
-        seen = Observation()
-        cur = written(cur.observe(seen, F.count("up").alias("n")), "sides")
-        if not seen.get["n"]:
-            break
-        par = cur.select("dl", F.col("seq").alias("up"), F.col("up").alias("_up"), F.col("side").alias("_side"))
-        done = cur.where("up IS NULL")
-        # a link whose parent is gone from the table (no valid birth) ends without a side
-        more = cur.where("up IS NOT NULL").join(par, ["dl", "up"], "left").select("dl", "seq", F.col("_up").alias("up"), F.coalesce("_side", F.when(F.col("_up").isNull(), F.lit(False))).alias("side"))
-        cur = done.unionByName(more)
-    return cur.select("dl", "seq", "side")
+    """(dl, seq, side) of every replace that worked: the side of the order its chain began with."""
+    plain = feed.tops.where("NOT bad")
+    if not feed.many:
+        return plain.select("dl", "seq", "side")
+    m = feed.events().where(f"grp = {FOLDED} AND kind = {KILL} AND open").select("dl", F.expr("sk div 2").alias("seq"), "pside", F.when(F.col("pside").isNull(), F.expr("psk div 2")).alias("up"))
+    par = plain.select("dl", F.col("seq").alias("up"), F.col("ext").alias("_ext"), F.col("side").alias("_side"), F.lit(True).alias("_in"))
+    m = m.join(par, ["dl", "up"], "left").select(
+        "dl", "seq", F.when(F.col("_in"), F.col("_ext")).otherwise(F.col("up")).alias("up"), F.lit(False).alias("bad"), F.lit(None).cast("bigint").alias("ext"), F.coalesce("pside", "_side").alias("side")
+    )
+    m, _ = _climb(m, "sides")
+    m = m.select("dl", "seq", F.coalesce("side", F.lit(False)).alias("side"))
+    own = plain.where("ext IS NULL").select("dl", "seq", "side")
+    # the chains that begin in a ref with several births: those whose beginning worked
+    heirs = plain.where("ext IS NOT NULL").select("dl", "seq", "ext").join(m.select("dl", F.col("seq").alias("ext"), "side"), ["dl", "ext"]).select("dl", "seq", "side")
+    return own.unionByName(heirs).unionByName(m)

@@ -36,15 +36,9 @@ def open_orders_by_side(spark: SparkSession, d: str) -> DataFrame:
     return book.levels(_feed(spark, d)).groupBy("trade_day", "locate", "side").agg(F.sum("orders").alias("open_orders"), F.sum("shares").alias("shares"))
 
 
-def _unknown(feed: lifecycle.Feed, messages: DataFrame) -> DataFrame:
-    kinds = messages.where("decoded AND type IN ('E', 'C', 'X')").select("trade_day", "seq", "type").distinct()
-    u = book.applied(feed).where("NOT applied").select(lifecycle.split_day_locate()[0], "seq", "kind")
-    reduced = u.where("kind = 'R'").join(kinds, ["trade_day", "seq"]).select("trade_day", "seq", "type")
-    return u.where("kind <> 'R'").select("trade_day", "seq", F.col("kind").alias("type")).unionByName(reduced)
-
-
 def unknown_refs_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return _unknown(_feed(spark, d), _messages(spark, d)).groupBy("trade_day", "type").agg(F.count("*").alias("unknown_refs"))
+    u = book.applied(lifecycle.settled_feed(_messages(spark, d), full=True)).where("NOT applied")
+    return u.groupBy(lifecycle.split_day_locate()[0], F.col("kind").alias("type")).agg(F.count("*").alias("unknown_refs"))
 
 
 def crossed_books(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +53,7 @@ def replace_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trade_tape(spark: SparkSession, d: str) -> DataFrame:
-    return book.trades(_messages(spark, d), _feed(spark, d))
+    return book.trades(lifecycle.settled_feed(_messages(spark, d), full=True))
 
 
 def replay_report(spark: SparkSession, d: str) -> DataFrame:
