@@ -41,7 +41,7 @@ SPAN = 18  # words that a mark accounts for at most: all of a short line, or its
 SALTS = 8  # parts of a hot line's rows when it is looked up
 CLAUSE = r"(?<=[.!?;,])\s+"
 MARK = ""  # stands for a placeholder
-WORD = r"A-Za-z0-9_\p{L}\p{N}"
+WORD = r"\w\x{80}-\x{10ffff}"  # letters and digits of ASCII, _, and all that is not ASCII
 
 # The syntaxes of unfilled placeholders.
 PLACEHOLDER = (
@@ -107,6 +107,7 @@ LICENCE = r"spdx-licen[cs]e|copyright (?:\(c\) )?\d|\blicen[cs]ed? under|all rig
 
 
 EDGE = "(?![a-z0-9])"
+PROSE = r"""(?= +[a-z<\[{$%_@"'`(\ue001])"""  # what follows is a word, not the syntax of a call or an assignment
 
 
 def _tree(parts: list[tuple[str, str, str]]) -> str:
@@ -133,12 +134,16 @@ def _near(words: str) -> str:
 _FILL = " ".join(s + r"\w*" for s in FILLER_STEMS.split()) + " " + FILLER_WORDS
 FILLER, FILLERS = _tree(_class(_FILL)), _tree(_class(_FILL, "", _near(_FILL)))
 _PAIRS = _class(FAIL, "", _near(THING)) + _class(THING, "", _near(FAIL)) + _class(SCRIPTING, "", _near(NEEDED)) + _class(NEEDED, "", _near(SCRIPTING))
-SAYS = "^(?:" + _tree(_class(WRITE, "", _near(ABOUT))) + "|(?:" + "|".join(WHOLE) + r")\W*$)|" + _tree(_PAIRS + [(x, "", "") for x in PHRASES]) + "|" + REPORTS
+SAYS = "^(?:" + _tree(_class(WRITE, "", PROSE + _near(ABOUT))) + "|(?:" + "|".join(WHOLE) + r")\W*$)|" + _tree(_PAIRS + [(x, "", "") for x in PHRASES]) + "|" + REPORTS
+# A status code where a segment may begin or behind what it is called.
+_NUMBER = r"[45](?<=(?:^|[\n>.!?;,]|error|status|code|http[^ ]{0,12})[^a-z0-9\n]{0,6}[45])(?<![0-9].)\d\d(?![0-9])(?! ?[,;)\]}])"
+
+
 def _could(pairs: list[tuple[str, str, str]]) -> str:
     """SAYS with anchors that hold for any part of a line, or two words of filler."""
-    tree = pairs + [(x, "", "") for x in PHRASES] + _class(WRITE, "(?<![a-z0-9] %)", _near(ABOUT)) + _class(_FILL, "", _near(_FILL))
+    tree = pairs + [(x, "", "") for x in PHRASES] + _class(WRITE, "(?<![a-z0-9] %)", PROSE + _near(ABOUT)) + _class(_FILL, "", _near(_FILL))
     tree += [(x, "", r"""[\s*/"'`-]*(?:\W*$|<|[.!?;,])""") for x in WHOLE] + [(f"{x}\\w*(?: \\w+)?: ", "", "") for x in ("fatal", "error", "warning")]
-    return "(?m)" + _tree(tree) + r'|e(?:rror|xception):|"(?:errors?|message|detail|status|code|reason)" ?:|[45](?<![0-9].)\d\d(?![0-9])(?! ?[,;)\]}])'
+    return "(?m)" + _tree(tree) + r'|e(?:rror|xception):|"(?:errors?|message|detail|status|code|reason)" ?:|' + _NUMBER
 
 
 # What no text has a line with evidence without; and the same of a line, cheaper, as it leaves out the second word of a pair.
@@ -148,11 +153,12 @@ TAG = r"<!--|-->|<!?[A-Za-z/?][^<>]*>"
 
 
 def _lines(text: Column) -> Column:
-    return F.split(F.translate(text, "\r\t", "\n "), "\n")
+    return F.split(F.replace(F.replace(text, F.lit("\r"), F.lit("\n")), F.lit("\t"), F.lit(" ")), "\n")
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.translate(F.lower(line), "123456789", "000000000"))
+    """Lower case, and every number alike."""
+    return F.trim(F.regexp_replace(F.lower(line), "[0-9]+", "0"))
 
 
 def _words(c: Column) -> Column:
