@@ -120,18 +120,53 @@ def number_field(line: Column, key: str) -> Column:
     return F.when(line.contains(f'"{key}"') & (n <= F.lit("18446744073709551615").cast("decimal(20,0)")), n.cast("decimal(20,0)"))
 
 
-def answer(requests: DataFrame, books: DataFrame, line: str = "line") -> DataFrame:
-    """Answer request lines from a snapshot with columns locate and ``quote`` (JSON): list is left to the caller.
+def _sides() -> list[Column]:
+    return [F.col(f"{s}_{c}").alias(f"best_{s}" + "_shares" * (c == "shares")) for s in ("bid", "ask") for c in ("price", "shares")]
 
-    A locate is taken modulo 65536, as the service does."""
+
+def quote_json(*more: str) -> Column:
+    """A book as the service writes it; an empty side is null. By default with snapshot_version and unknown_refs."""
+    more = more or ("snapshot_version", "unknown_refs")
+    return F.to_json(F.struct("locate", *_sides(), "open_orders", "bid_levels", "ask_levels", *[c for c in more if c]), {"ignoreNullFields": "false"})
+
+
+def list_json(books: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., response): all books of each ``by`` in the order of locate. One response holds one day's books (65,536 at most)."""
+    entry = F.to_json(F.struct("locate", *_sides(), "open_orders", "bid_levels", "ask_levels"), {"ignoreNullFields": "false"})
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("locate", entry.alias("j")))), lambda x: x["j"]), ",")
+    g = books.groupBy(*by).agg(text.alias("_b"), F.coalesce(F.max("snapshot_version"), F.lit(0)).alias("_v"), F.coalesce(F.max("unknown_refs"), F.lit(0)).alias("_u"))
+    return g.select(*by, F.concat(F.lit('{"snapshot_version":'), "_v", F.lit(',"unknown_refs":'), "_u", F.lit(',"books":['), "_b", F.lit("]}")).alias("response"))
+
+
+MAX_LINE = 65536  # fixed value: bytes a request line may have
+
+
+def request_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys.., n, line, error) of what each connection sent: lines end with a line feed, a carriage return before it is dropped,
+    empty lines are passed over, and what comes after the last line feed is no request, but an error if it is too long."""
+    parts = F.split(F.col(text), "\n")
+    p = texts.where(F.col(text).isNotNull()).select(*keys, F.size(parts).alias("_n"), F.posexplode(parts).alias("n", "line"))
+    p = p.withColumn("_tail", F.col("n") == F.col("_n") - 1).withColumn("line", F.regexp_replace("line", "\r$", ""))
+    error = F.when(F.col("_tail") & (F.octet_length("line") > MAX_LINE), '{"error":"request line too long"}')
+    return p.withColumn("error", error).where("(NOT _tail AND line <> '') OR error IS NOT NULL").select(*keys, "n", "line", "error")
+
+
+def answer(requests: DataFrame, store: DataFrame, line: str = "line") -> DataFrame:
+    """Answer request lines (list, quote) from the books of one snapshot: columns locate, bid_price, bid_shares, ask_price, ask_shares,
+    open_orders, bid_levels, ask_levels, snapshot_version, unknown_refs. Before anything is published a list is empty, of version 0.
+
+    A locate is taken modulo 65536, as the service does. Adds ``cmd``, ``asked`` and ``response``."""
     r = requests.withColumn("cmd", text_field(F.col(line), "cmd")).withColumn("asked", number_field(F.col(line), "locate"))
-    r = r.withColumn("_at", F.pmod(F.col("asked"), F.lit(65536).cast("decimal(20,0)")).cast("int"))
-    b = books.select(F.col("locate").alias("_at"), "quote")
-    j = r.join(b, "_at", "left")
-    error = (
+    r = r.withColumn("_at", F.when(F.col("cmd") == "quote", F.pmod(F.col("asked"), F.lit(65536).cast("decimal(20,0)")).cast("int")))
+    b = store.select(F.col("locate").alias("_at"), quote_json().alias("_quote"))
+    every = list_json(store, []).select(F.lit("list").alias("cmd"), F.col("response").alias("_list"))
+    j = r.join(b, "_at", "left").join(every, "cmd", "left")
+    response = (
         F.when(F.col("cmd").isNull(), '{"error":"bad request"}')
+        .when(F.col("cmd") == "list", F.col("_list"))
         .when(F.col("cmd") != "quote", '{"error":"unknown command"}')
         .when(F.col("asked").isNull(), '{"error":"missing locate"}')
-        .when(F.col("quote").isNull(), F.concat(F.lit('{"error":"unknown locate","locate":'), F.col("_at"), F.lit("}")))
+        .when(F.col("_quote").isNull(), F.concat(F.lit('{"error":"unknown locate","locate":'), F.col("_at"), F.lit("}")))
+        .otherwise(F.col("_quote"))
     )
-    return j.withColumn("response", F.coalesce(error, "quote")).drop("_at", "quote")
+    return j.withColumn("response", response).select(*requests.columns, "cmd", "asked", "response")

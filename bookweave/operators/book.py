@@ -94,29 +94,69 @@ def snapshot(messages: DataFrame, feed: lc.Feed | None = None) -> DataFrame:
     return q.withColumns(zero)
 
 
+def _dyadic(first: str, last: str):
+    """Nodes (k, i) of a binary tree over versions that together cover first..last: at most two a level; node (k, i) covers
+    the versions v with v >> k = i."""
+    step = (
+        f"aggregate(sequence(0, 40), named_struct('l', {first}, 'r', {last} + 1, 'out', cast(array() as array<struct<k:int,i:bigint>>)), "
+        "(a, k) -> CASE WHEN a.l >= a.r THEN a ELSE named_struct('l', (a.l + a.l % 2) div 2, 'r', (a.r - a.r % 2) div 2, 'out', concat(a.out, "
+        "CASE WHEN a.l % 2 = 1 THEN array(named_struct('k', k, 'i', a.l)) ELSE cast(array() as array<struct<k:int,i:bigint>>) END, "
+        "CASE WHEN a.r % 2 = 1 THEN array(named_struct('k', k, 'i', a.r - 1)) ELSE cast(array() as array<struct<k:int,i:bigint>>) END)) END, a -> a.out)"
+    )
+    return F.expr(step)
+
+
 def checkpoints(messages: DataFrame, feed: lc.Feed, every: int) -> DataFrame:
-    """Book of every locate after each ``every`` decoded messages of a trade day, as deltas per bucket summed over buckets.
+    """What is published after each ``every`` decoded messages of a trade day and once more at its end: one row per version and
+    book that exists by then, empty books included.
 
     The ordinal of a decoded message is its rank by seq within the day, from counts per block of seq and a rank inside
-    the block; a level's state is a running sum over the buckets in which it changed, valid until its next change.
+    the block; a level's state is a running sum over the versions in which it changed. The best level of a version is not
+    looked for among all levels: the time a level stands is cut into nodes of a binary tree over the versions, the best is
+    kept per node, and a version in which a side changed asks its ancestors, so the work is changes times the logarithm
+    of the versions. Between changes a book's row is repeated.
     """
+    key = ["trade_day", "locate"]
     block = F.expr("seq div 65536").alias("block")
-    m = lc.book_messages(messages).where("trade_day IS NOT NULL").select("trade_day", block, "seq").distinct()
+    m = lc.book_messages(messages).where("trade_day IS NOT NULL").select("trade_day", "locate", block, "seq").distinct()
     w = Window.partitionBy("trade_day")
     n = m.groupBy("trade_day", "block").agg(F.count("*").alias("_n")).withColumn("_base", F.sum("_n").over(w.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
-    rank = F.row_number().over(Window.partitionBy("trade_day", "block").orderBy("seq"))
-    at = m.withColumn("_r", rank).join(n, ["trade_day", "block"]).select("trade_day", "seq", F.ceil((F.coalesce("_base", F.lit(0)) + F.col("_r")) / every).alias("version"))
-    last = at.groupBy("trade_day").agg(F.max("version").alias("versions"))
-    d = deltas(feed).select(lc.split_day_locate()[0], lc.split_day_locate()[1], "seq", "side", "price", "shares", "orders").join(at, ["trade_day", "seq"])
-    d = d.groupBy("trade_day", "locate", "side", "price", "version").agg(F.sum("shares").alias("shares"), F.sum("orders").alias("orders"))
-    lw = Window.partitionBy("trade_day", "locate", "side", "price").orderBy("version")
+    rank = F.row_number().over(Window.partitionBy("trade_day", "block").orderBy("seq", "locate"))
+    at = m.withColumn("_r", rank).join(n, ["trade_day", "block"]).select("trade_day", "locate", "seq", F.ceil((F.coalesce("_base", F.lit(0)) + F.col("_r")) / every).alias("version"))
+    last = n.groupBy("trade_day").agg((F.expr(f"sum(_n) div {every}") + 1).alias("versions"))  # one row per trade day
+    d = deltas(feed).select(*lc.split_day_locate(), "seq", "side", "price", "shares", "orders").join(at, [*key, "seq"])
+    d = d.groupBy(*key, "side", "price", "version").agg(F.sum("shares").alias("shares"), F.sum("orders").alias("orders"))
+    lw = Window.partitionBy(*key, "side", "price").orderBy("version")
     run = lw.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("shares", F.sum("shares").over(run)).withColumn("orders", F.sum("orders").over(run)).withColumn("_next", F.lead("version").over(lw)).where("orders > 0")
-    d = d.join(F.broadcast(last), "trade_day").withColumn("version", F.explode(F.sequence("version", F.coalesce(F.col("_next") - 1, F.col("versions")))))
-    bid, ask = F.col("side") == "B", F.col("side") == "S"
-    return d.groupBy("trade_day", "version", "locate").agg(
-        F.max(F.when(bid, F.col("price"))).alias("bid_price"), F.max_by("shares", F.when(bid, F.col("price"))).alias("bid_shares"),
-        F.min(F.when(ask, F.col("price"))).alias("ask_price"), F.min_by("shares", F.when(ask, F.col("price"))).alias("ask_shares"), F.sum("orders").alias("open_orders"),
+    d = d.withColumn("change", F.col("orders")).withColumn("shares", F.sum("shares").over(run)).withColumn("orders", F.sum("orders").over(run)).withColumn("_next", F.lead("version").over(lw))
+    there, was = (F.col("orders") > 0).cast("int"), (F.col("orders") - F.col("change") > 0).cast("int")
+    d = d.withColumn("levels", there - was).join(F.broadcast(last), "trade_day")
+    # the price that is best is the greatest of these
+    worth = F.when(F.col("side") == "B", F.col("price")).otherwise(-F.col("price"))
+    stands = d.where("orders > 0").select(*key, "side", F.struct(worth.alias("w"), "price", "shares").alias("best"), F.inline(_dyadic("version", "coalesce(_next - 1, versions)")))
+    nodes = stands.groupBy(*key, "side", "k", "i").agg(F.max("best").alias("best"))
+    changed = d.groupBy(*key, "side", "version", "versions").agg(F.sum("change").alias("orders"), F.sum("levels").alias("levels"))
+    depth = F.expr("cast(ceil(log2(versions + 1)) as int)")
+    ask = changed.select(*key, "side", "version", F.explode(F.sequence(F.lit(0), depth)).alias("k")).withColumn("i", F.expr("shiftright(version, k)"))
+    best = ask.join(nodes, [*key, "side", "k", "i"], "left").groupBy(*key, "side", "version").agg(F.max("best").alias("best"))
+    side = lambda x, c: F.when(F.col("side") == x, F.col(c))
+    rows = changed.join(best, [*key, "side", "version"]).groupBy(*key, "version").agg(
+        F.sum("orders").alias("orders"), *[F.coalesce(F.sum(side(x, "levels")), F.lit(0)).alias(f"levels_{x}") for x in "BS"],
+        *[F.max(F.when(F.col("side") == x, F.struct("best"))).alias(f"best_{x}") for x in "BS"],
+    )
+    born = at.where("locate IS NOT NULL").groupBy(*key).agg(F.min("version").alias("version")).withColumn("_born", F.lit(True))
+    rows = rows.join(born, [*key, "version"], "full")
+    kw = Window.partitionBy(*key).orderBy("version")
+    upto = kw.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(
+        *key, "version", F.lead("version").over(kw).alias("_next"), *[F.last(f"best_{x}", ignorenulls=True).over(upto).alias(f"best_{x}") for x in "BS"],
+        *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("orders", "levels_B", "levels_S")],
+    ).join(F.broadcast(last), "trade_day")
+    rows = rows.withColumn("version", F.explode(F.sequence("version", F.coalesce(F.col("_next") - 1, F.col("versions")))))
+    got = lambda x, c: F.col(f"best_{x}.best.{c}")
+    return rows.select(
+        "trade_day", "version", "locate", got("B", "price").alias("bid_price"), got("B", "shares").alias("bid_shares"), got("S", "price").alias("ask_price"), got("S", "shares").alias("ask_shares"),
+        F.col("orders").alias("open_orders"), F.col("levels_B").alias("bid_levels"), F.col("levels_S").alias("ask_levels"),
     )
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookweave.functions import wire
 from bookweave.operators import book, lifecycle
+from bookweave.plans import catalogue_more
 from bookweave.plans.feed_sql import FEED_SQL
 from bookweave.session import table
 
@@ -57,10 +59,15 @@ def trade_tape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replay_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per trade day: frames, bytes, decoded frames, frames by counted type, books and their totals, unknown refs; 0 where there are none."""
     m = _messages(spark, d)
     feed = lifecycle.settled_feed(m)
-    frames = m.groupBy("trade_day", "seq").agg(F.max("len").alias("len"), F.max("decoded").alias("decoded"))
-    frames = frames.groupBy("trade_day").agg(F.count("*").alias("frames"), F.sum(F.col("len") + 2).alias("bytes"), F.count(F.when(F.col("decoded"), 1)).alias("decoded"))
+    once = m.groupBy("trade_day", "seq").agg(F.max("len").alias("len"), F.max("decoded").alias("decoded"), F.max_by("type", F.col("decoded").cast("int")).alias("type"))
+    kind = F.when(F.col("decoded") & (F.col("type") == "F"), "A").otherwise(F.col("type"))
+    by = once.groupBy("trade_day", kind.alias("type")).agg(F.count("*").alias("n"), F.sum(F.col("len") + 2).alias("bytes"), F.count(F.when(F.col("decoded"), 1)).alias("decoded"))
+    # at most one entry for each of the 256 type bytes
+    counts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat(x["type"], F.lit("="), x["n"])), " ")
+    frames = by.groupBy("trade_day").agg(F.sum("n").alias("frames"), F.sum("bytes").alias("bytes"), F.sum("decoded").alias("decoded"), counts.alias("frames_by_type"))
     s = book.snapshot(m, feed).groupBy("trade_day").agg(F.count("*").alias("books"), *[F.sum(c).alias(c) for c in ("open_orders", "bid_levels", "ask_levels")])
     u = book.applied(feed).where("NOT applied").groupBy(lifecycle.split_day_locate()[0]).agg(F.count("*").alias("unknown_refs"))
     return frames.join(s, "trade_day", "left").join(u, "trade_day", "left").fillna(0, ["books", "open_orders", "bid_levels", "ask_levels", "unknown_refs"])
@@ -85,13 +92,13 @@ def threeway_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quote_point(spark: SparkSession, d: str) -> DataFrame:
-    return book_snapshot(spark, d).select("trade_day", quote_json().alias("response"))
-
-
-def quote_json():
-    """A book as the query service writes it; an empty side is null."""
-    sides = [F.col(f"{s}_{c}").alias(f"best_{s}" + "_shares" * (c == "shares")) for s in ("bid", "ask") for c in ("price", "shares")]
-    return F.to_json(F.struct("locate", *sides, "open_orders", "bid_levels", "ask_levels"), {"ignoreNullFields": "false"})
+    """Every book as the service answers for it after the last publish of its day: one each CHECKPOINT_EVERY messages and one at the end."""
+    m = _messages(spark, d)
+    feed = lifecycle.settled_feed(m)
+    n = lifecycle.book_messages(m).where("trade_day IS NOT NULL").select("trade_day", "locate", "seq").distinct().groupBy("trade_day").agg((F.expr(f"count(*) div {CHECKPOINT_EVERY}") + 1).alias("snapshot_version"))
+    u = book.applied(feed).where("NOT applied").groupBy(lifecycle.split_day_locate()[0]).agg(F.count("*").alias("unknown_refs"))
+    s = book.snapshot(m, feed).join(F.broadcast(n), "trade_day").join(F.broadcast(u), "trade_day", "left").fillna(0, ["unknown_refs"])
+    return s.select("trade_day", wire.quote_json().alias("response"))
 
 
 def checkpoint_bbo(spark: SparkSession, d: str) -> DataFrame:
@@ -105,10 +112,5 @@ _ALL = (
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = dict(FEED_SQL)
 
-try:
-    from bookweave.plans import catalogue_more
-
-    QUERIES |= catalogue_more.QUERIES
-    SQL |= catalogue_more.SQL
-except ImportError:
-    pass
+QUERIES |= catalogue_more.QUERIES
+SQL |= catalogue_more.SQL

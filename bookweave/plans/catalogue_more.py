@@ -174,23 +174,39 @@ def snapshot_versions(s, d):
     return b.groupBy("trade_day", "version").agg(F.count("*").alias("books"), F.max("unknown_refs").alias("unknown_refs"), F.sum("open_orders").alias("open_orders"))
 
 
-def list_json(s, d):
+def handler_books(s, d, whole_days=True):
+    """What the handler last published of each trade day, in the form the service answers from."""
     b = table(s, d, "book_snapshots").distinct()
     last = b.groupBy("trade_day").agg(F.max("version").alias("version"))
-    j = b.join(F.broadcast(last), ["trade_day", "version"])
-    f = F.to_json(F.struct("locate", "open_orders", "bid_levels", "ask_levels"))
-    books = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("locate", f.alias("j")))), lambda x: x["j"]), ",")
-    g = j.groupBy("trade_day", "version").agg(books.alias("b"), F.max("unknown_refs").alias("u"))
-    return g.select("trade_day", F.concat(F.lit('{"snapshot_version":'), "version", F.lit(',"unknown_refs":'), "u", F.lit(',"books":['), "b", F.lit("]}")).alias("response"))
+    if not whole_days:
+        last = last.agg(F.max(F.struct("trade_day", "version")).alias("x")).select("x.*")
+    has = {f"{x}_{c}": F.when(F.col(f"has_{x}"), F.col(f"{x}_{c}")) for x in ("bid", "ask") for c in ("price", "shares")}
+    return b.join(F.broadcast(last), ["trade_day", "version"]).withColumns(has).withColumnRenamed("version", "snapshot_version")
+
 
+def list_json(s, d):
+    return wire.list_json(handler_books(s, d), ["trade_day"])
 
-REQUESTS = ['{"cmd":"quote","locate":6793}', '{"cmd" : "quote", "locate" :\t65537}', '{"cmd":"quote"}', '{"cmd":"fly"}', "hello", '{"locate":1}', '{"cmd":5,"cmd":"quote","locate":1}', '{"cmd":"quote","locate":99999999999999999999999}']
+
+REQUESTS = [
+    '{"cmd":"list"}', '{"cmd":"quote","locate":6793}', '{"cmd" : "quote", "locate" :\t65537}', '{"cmd":"quote"}', '{"cmd":"fly"}', "hello", '{"locate":1}', '{"cmd":5,"cmd":"quote","locate":1}',
+    '{"cmd":"quote","locate":99999999999999999999999}', '{"cmd":"quote","locate":"7"}',
+]
 
 
 def query_errors(s, d):
-    """What the service answers to good and bad lines; a book is answered with its number of open orders."""
-    b = table(s, d, "book_snapshots").groupBy("locate").agg(F.max("open_orders").alias("n")).select("locate", F.concat(F.lit('{"open_orders":'), "n", F.lit("}")).alias("quote"))
-    return wire.answer(s.createDataFrame([(x,) for x in REQUESTS], "line string"), b).select("line", "response")
+    """What the service answers to good and bad lines from the last snapshot of the last day."""
+    return wire.answer(s.createDataFrame([(x,) for x in REQUESTS], "line string"), handler_books(s, d, False)).select("line", "response")
+
+
+# Two connections: line ends of both kinds, empty lines, and a last line that never ended.
+TEXTS = [(1, '{"cmd":"quote"}\r\n\r\n\n{"cmd":"fly"}\nhello\n{"cmd":"list"}'), (2, '{"cmd":"quote","locate":3}\n' + "x" * 65537)]
+
+
+def query_lines(s, d):
+    """Requests and line errors in what connections sent."""
+    r = wire.request_lines(s.createDataFrame(TEXTS, "connection int, text string"), ["connection"])
+    return r.select("connection", "n", F.when(F.col("error").isNull(), F.col("line")).alias("line"), "error")
 
 
 def wire_encode(s, d):
@@ -214,7 +230,7 @@ def wire_roundtrip(s, d):
 _ALL = (
     twap_schedule, twap_children, volume_curve, vwap_children, vwap_market_volume, pov_children, almgren_schedule, fills_limit, fills_market, fill_stats, risk_reasons, risk_accepted,
     latency_percentiles, throughput_median_best, ratio_gate, drift_warning, history_record_anti, ci_ratio_per_commit, plot_pivot, message_counts, ladder_offgrid_rejects, ladder_rejects,
-    session_dedupe, session_gaps, session_drain, retransmit_range_join, snapshot_versions, list_json, query_errors, wire_encode, wire_roundtrip,
+    session_dedupe, session_gaps, session_drain, retransmit_range_join, snapshot_versions, list_json, query_errors, query_lines, wire_encode, wire_roundtrip,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -247,6 +263,12 @@ _PAIR = f"""{_RUN}, pp AS (SELECT a.commit_sha, a.os, a.runner, a.message_type,
 _GAP = "g0 AS (SELECT trade_day, seq, lead(seq) OVER (PARTITION BY trade_day ORDER BY seq) AS nx FROM (SELECT DISTINCT trade_day, seq FROM messages {})), ga AS (SELECT trade_day, seq + 1 AS first, nx - seq - 1 AS count, ceil((nx - seq - 1) / 65534)::BIGINT AS requests FROM g0 WHERE nx > seq + 1)"
 
 
+_QUOTE = """'"locate":' || locate || ',"best_bid":' || CASE WHEN has_bid THEN bid_price::VARCHAR ELSE 'null' END || ',"best_bid_shares":' || CASE WHEN has_bid THEN bid_shares::VARCHAR ELSE 'null' END || ',"best_ask":' || CASE WHEN has_ask THEN ask_price::VARCHAR ELSE 'null' END
+  || ',"best_ask_shares":' || CASE WHEN has_ask THEN ask_shares::VARCHAR ELSE 'null' END || ',"open_orders":' || open_orders || ',"bid_levels":' || bid_levels || ',"ask_levels":' || ask_levels"""
+_LIST = f"""'{{"snapshot_version":' || max(version) || ',"unknown_refs":' || max(unknown_refs) || ',"books":[' || string_agg('{{' || {_QUOTE} || '}}', ',' ORDER BY locate) || ']}}'"""
+_HB = "hb AS (SELECT DISTINCT * FROM book_snapshots b WHERE version = (SELECT max(version) FROM book_snapshots c WHERE c.trade_day = b.trade_day))"
+
+
 def _hex(c: str, n: int) -> str:
     return f"right(lpad(lower(to_hex({c}::BIGINT)), 16, '0'), {2 * n})"
 
@@ -289,8 +311,13 @@ SQL = {
         SELECT j.*, (SELECT count(DISTINCT seq) FROM messages m WHERE m.trade_day = j.trade_day AND m.seq > j.next_seq) AS pending FROM j""",
     "retransmit_range_join": f"WITH {_GAP.format(chr(39).join(['WHERE line = ', 'A', '']))} SELECT ga.trade_day, first, count, count(DISTINCT m.seq) AS answered FROM ga JOIN messages m ON m.trade_day = ga.trade_day AND m.seq BETWEEN first AND first + count - 1 AND m.line <> 'A' GROUP BY ALL",
     "snapshot_versions": "SELECT trade_day, version, count(*) AS books, max(unknown_refs) AS unknown_refs, sum(open_orders)::BIGINT AS open_orders FROM (SELECT DISTINCT * FROM book_snapshots) GROUP BY ALL",
-    "list_json": """SELECT trade_day, '{"snapshot_version":' || max(version) || ',"unknown_refs":' || max(unknown_refs) || ',"books":[' || string_agg('{"locate":' || locate || ',"open_orders":' || open_orders || ',"bid_levels":' || bid_levels || ',"ask_levels":' || ask_levels || '}', ',' ORDER BY locate) || ']}' AS response
-        FROM (SELECT DISTINCT * FROM book_snapshots b WHERE version = (SELECT max(version) FROM book_snapshots c WHERE c.trade_day = b.trade_day)) GROUP BY trade_day""",
+    "list_json": f"""WITH {_HB} SELECT trade_day, {_LIST} AS response FROM hb GROUP BY trade_day""",
+    "query_errors": f"""WITH {_HB}, st AS (SELECT * FROM hb WHERE trade_day = (SELECT max(trade_day) FROM hb)), rq AS (SELECT unnest([{', '.join("'" + x + "'" for x in REQUESTS)}]) AS line),
+        sc AS (SELECT line, CASE WHEN position('"cmd"' IN line) > 0 THEN nullif(regexp_extract(substr(line, position('"cmd"' IN line) + 5), '^[ \\t]*:[ \\t]*"([^"]*)"', 1), '') END AS cmd,
+          CASE WHEN position('"locate"' IN line) > 0 THEN TRY_CAST(nullif(regexp_extract(substr(line, position('"locate"' IN line) + 8), '^[ \\t]*:[ \\t]*([0-9]+)', 1), '') AS UBIGINT) END AS asked FROM rq)
+        SELECT line, CASE WHEN cmd IS NULL THEN '{{"error":"bad request"}}' WHEN cmd = 'list' THEN (SELECT {_LIST} FROM st) WHEN cmd <> 'quote' THEN '{{"error":"unknown command"}}' WHEN asked IS NULL THEN '{{"error":"missing locate"}}'
+          ELSE coalesce((SELECT '{{' || {_QUOTE} || ',"snapshot_version":' || version || ',"unknown_refs":' || unknown_refs || '}}' FROM st WHERE st.locate = asked % 65536), '{{"error":"unknown locate","locate":' || (asked % 65536) || '}}') END AS response FROM sc""",
+    "query_lines": """SELECT * FROM (VALUES (1, 0, '{"cmd":"quote"}', NULL), (1, 3, '{"cmd":"fly"}', NULL), (1, 4, 'hello', NULL), (2, 0, '{"cmd":"quote","locate":3}', NULL), (2, 1, NULL, '{"error":"request line too long"}')) t(connection, n, line, error)""",
     "wire_encode": f"""SELECT trade_day, seq, {_hex('(length(p) // 2)', 2)} || p AS frame FROM (SELECT trade_day, seq, lower(hex(type)) || {_hex('locate', 2)} || '0000' || {_hex('ts', 6)} || {_BODY} AS p
         FROM (SELECT DISTINCT trade_day, seq, type, locate, ts, ref, new_ref, side, shares, price, match, printable, rtrim(stock) AS stock FROM messages WHERE decoded AND type IN ('A', 'F', 'E', 'C', 'X', 'D', 'U')))""",
     "wire_roundtrip": "SELECT type, count(*) AS messages, 0::BIGINT AS changed FROM messages WHERE decoded AND type IN ('A', 'F', 'E', 'C', 'X', 'D', 'U') GROUP BY ALL",
