@@ -4,7 +4,8 @@ Normalised lines are counted by host (the repository a file comes from), over al
 ``MIN_DIFFERENT`` different documents of a host share is its boilerplate (licence headers, banners, common lines) and is
 subtracted. What is left of a document, its residual, is evidence (a placeholder, filler, a few words over and over, a
 left-over hint, an error message, a notice that scripts are required) or content. A document is residue if its residual
-has evidence and next to no content: real files keep their content whatever marks stand beside it.
+has evidence and next to no content, and if the evidence is not outweighed by what was subtracted (a file that consists of
+boilerplate and one odd line is no residue): real files keep their content whatever marks stand beside it.
 
 What counts as evidence is composed of word classes (a failure and the thing that fails, scripts and their being
 required, a verb of writing and what is to be written), not of the sentences of any corpus. The classes may be wide,
@@ -50,22 +51,22 @@ PLACEHOLDER = (
 )
 # The common filler passage, its words cut to stems (they are often misspelt or inflected), and metasyntactic words.
 FILLER_STEMS = (
-    "adipi aliqu amet anim aute cillum commod conse culpa cupida deseru dolor duis eiusmo elit enim esse excep exerci fugia incidid ipsum irur labor "
-    "lorem magna minim mollit nisi nostru nulla occae offici pariat proide quis repreh sed sint sunt tempo ullam velit venia volupt"
+    "adipi aliqu amet anim aute cillu commod conse culpa cupida deseru dolor duis eiusmo elit enim esse excep exerci fugia incidid ipsum irur labor "
+    "lorem magna minim mollit nisi nostr nulla occae offici pariat proide quis repreh sed sint sunt tempo ullam velit venia volupt"
 )
 FILLER_WORDS = "ad ea est et eu ex id in non qui sit ut foo bar baz qux quux blah"
 # Word classes, in English and the words for them that error pages of other languages use.
 FAIL = (
     "don't doesn't didn't isn't aren't wasn't weren't hasn't haven't hadn't couldn't wouldn't shouldn't can't won't not no cannot panic\\w* fault\\w* undefined uncaught incorrect insufficient unsupported corrupt\w* disconnect\w* unable "
-    " fail\\w* error\\w* invalid denied refus\\w* reject\\w* forbidden unauthori\\w* missing lost gone remov\\w* delet\\w* moved "
+    " fail\\w* error\\w* invalid denied refus\\w* reject\\w* forbidden unauthori\\w* missing gone remov\\w* delet\\w* moved "
     "expir\\w* exceed\\w* time-?out timed disabled block\\w* suspend\\w* banned down offline wrong broken unknown unavailable unreachable closed maintenance overload\\w* busy "
     "limit\\w* throttl\\w* crash\\w* abort\\w* stopped ended unexpected problem trouble sorry oops too hit\\w* erreur fehler errore erro nicht kein\\w* pas introuvable indisponible "
     "denegad\\w* negad\\w* encontr\\w* trouv\\w* gefunden verweigert gibt interdit requis ran run restricted private"
 )
 THING = (
     "page\\w* file resource\\w* object document\\w* urls? uri links? address site\\w* website server service\\w* gateway hosts? requests? response access\\w* permission\\w* account repo\\w* "
-    "branch bucket keys? session token connect\\w* network upstream proxy client users? you your log_?in sign download mirror content path remote database domain people load\\w* quota rate "
-    "process memory pointer command module package version argument operation method query copy blob something answer view read serv\\w* fetch\\w* seite datei p.gina archivo fichier serveur servidor zugriff acceso acc.s anfrage solicitud demande diese interne requested it"
+    "bucket keys? session connect\\w* network upstream proxy client users? you your log_?in sign download mirror content path remote database domain people load\\w* quota rate "
+    "process memory pointer command module package version argument operation method query copy blob something answer view read serv\\w* fetch\\w* seite datei p.gina archivo fichier serveur servidor zugriff acceso acc.s anfrage solicitud demande diese interne requested"
 )
 SCRIPTING = "java_?script ecmascript scripts? scripting js"
 NEEDED = (
@@ -81,10 +82,10 @@ ABOUT = (
 PHRASES = [
     "not ?found", "forbidden", "bad (?:gateway|request)", "unauthori[sz]ed", "gateway time-?out", "time-?out", "service unavailable", "internal server error", "too many requests",
     "method not allowed", "access ?denied", "acceso denegado", "zugriff verweigert", "acc.s refus.", r"no ?such ?\w+", r"expired ?\w+", r"invalid ?\w+", "does(?: not|n't) exist",
-    "page (?:is|was) (?:not|missing)", "try(?: it)? (?:again|later)", "come (?:again|back|later)", "check (?:again|back|later)", "retry", r"cannot \w+", r"can not \w+", r"unable to \w+", r"failed to \w+", r"could not \w+", "panic: ", "fault: ", "authori[sz]ation required", "versuchen sie", r"r.essay\w*", r"int.ntelo", "go back", "back to",
+    "page (?:is|was) (?:not|missing)", "try(?: it)? (?:again|later)", "come (?:again|back|later)", "check (?:again|back|later)", "please retry", "wait and retry", r"cannot \w+", r"can not \w+", r"unable to \w+", r"failed to \w+", r"could not \w+", "panic: ", "fault: ", "authori[sz]ation required", "versuchen sie", r"r.essay\w*", r"int.ntelo", "go back", "back to",
     "return to", "home ?page", "has been (?:told|notified|informed|logged|reported|removed|deleted|moved|disabled|blocked|suspended)", "have been (?:told|notified|informed|logged|reported)", "sign in",
     "log in", r"looked (?:for|every)\w*", "contact (?:us|your|the)", "temporarily", "checking your browser", "you are (?:a )?human", "just a moment", "enable it", "ddos protection",
-    "goes (?:here|in)", "to be (?:written|added|filled|done|decided|determined|announced)", "coming soon", "work in progress", "under (?:construction|maintenance)", "limit exceeded", "please slow ?down", "placeholder", "fill (?:in|me)", "sample text", "dummy text",
+    "goes (?:here|in)", "to be (?:written|added|filled|done|decided|determined|announced)", "coming soon", "work in progress", "under (?:construction|maintenance)", "limit exceeded", "connection lost", "lost connection", "please slow ?down", "placeholder", "fill (?:in|me)", "sample text", "dummy text",
     "sentence that", r"traceback \(", 'file ".*", line [0-9]+',
 ]
 # Whole segments: headings of templates and one-word messages.
@@ -106,7 +107,7 @@ BODY = (
 LICENCE = r"spdx-licen[cs]e|copyright (?:\(c\) )?\d|\blicen[cs]ed? under|all rights reserved|see the licen[cs]e"
 
 
-EDGE = "(?![a-z0-9])"
+EDGE = "(?![a-z0-9_])"
 PROSE = r"""(?= +[a-z<\[{$%_@"'`(\ue001])"""  # what follows is a word, not the syntax of a call or an assignment
 
 
@@ -118,7 +119,7 @@ def _tree(parts: list[tuple[str, str, str]]) -> str:
         w = word.replace("_", " ")
         groups.setdefault(w[0], {}).setdefault((before, after), []).append(w[1:])
     one = {k: [b.replace("%", k) + "(?:" + "|".join(sorted(set(v))) + ")" + a for (b, a), v in g.items()] for k, g in groups.items()}
-    return "(?<![a-z0-9])(?:" + "|".join(k + "(?:" + "|".join(v) + ")" for k, v in sorted(one.items())) + ")"
+    return "(?<![a-z0-9_])(?:" + "|".join(k + "(?:" + "|".join(v) + ")" for k, v in sorted(one.items())) + ")"
 
 
 def _class(words: str, before: str = "", after: str = "") -> list[tuple[str, str, str]]:
@@ -199,7 +200,7 @@ def _bare(s: Column) -> Column:
 
 
 def _judged(line: Column) -> Column:
-    """array of (evidence 0/1, words of content, words of scraps) of a line's segments between mark-up tags."""
+    """array of (e: evidence 0/1, c: words of content, s: words of scraps, k: words that marks account for) of a line's segments between mark-up tags."""
     clean = F.regexp_replace(F.regexp_replace(line, r"(?i)<style\b[^>]*>.*?</style>", " "), PLACEHOLDER, f" {MARK} ")
     segments = F.split(F.regexp_replace(clean, TAG, "\n"), "\n")
 
@@ -221,7 +222,7 @@ def _judged(line: Column) -> Column:
         def out(k: Column) -> Column:
             plain = F.when((n <= 2) | ((k == 0) & licence), 0).otherwise(F.greatest(n - k, F.lit(0)))
             scraps = F.when((k > 0) | (n > 2) | licence, 0).otherwise(F.regexp_count(s, F.lit(f"[{WORD}]+")))
-            return F.struct(F.when(k > 0, 1).otherwise(0).alias("e"), plain.alias("c"), scraps.alias("s"))
+            return F.struct(F.when(k > 0, 1).otherwise(0).alias("e"), plain.alias("c"), scraps.alias("s"), F.least(k, n).alias("k"))
 
         return bind(F.when(evident, F.greatest(n, F.lit(1))).otherwise(told), out)
 
@@ -254,7 +255,7 @@ def boilerplate(documents: DataFrame, host: str = "repo") -> DataFrame:
 
 
 def residual(documents: DataFrame, host: str = "repo") -> DataFrame:
-    """(doc_id, evidence, content, scraps) of the residual of every document that may have evidence and next to no content."""
+    """(doc_id, evidence, content, scraps, marked, subtracted) of the residual of every document that may have evidence and next to no content."""
     d = documents.where("text IS NOT NULL").select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), "text").where(may_hold(F.col("text")))
     lines = d.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "host", F.explode(_lines(F.col("text"))).alias("line")).where("trim(line) <> ''")
     lines = lines.withColumn("n", F.regexp_count("line", F.lit(rf"[{WORD}]{{2,}}"))).withColumn("may", possible(F.col("line"), F.col("n")))
@@ -265,23 +266,23 @@ def residual(documents: DataFrame, host: str = "repo") -> DataFrame:
     seen = rows.join(common, ["h", "salt"], "left")
     own = F.col("common").isNull()
     docs = seen.groupBy("doc_id", "row").agg(
-        F.sum(F.when(own, F.col("c")).otherwise(0)).alias("c"), F.sum(F.when(own, F.col("s")).otherwise(0)).alias("s"),
+        F.sum(F.when(own, F.col("c")).otherwise(0)).alias("c"), F.sum(F.when(own, F.col("s")).otherwise(0)).alias("s"), F.sum(F.when(own, 0).otherwise(F.col("c"))).alias("b"),
         F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", own.alias("own")))).alias("lines"),
     ).where(f"c <= {MAX_CONTENT} AND s <= {MAX_SCRAPS} AND size(lines) > 0")
     judged = F.transform("lines", lambda x: F.struct(_judged(x["line"]).alias("j"), x["own"].alias("own")))
-    docs = docs.select("doc_id", "row", "c", "s", F.explode(judged).alias("j"))
-    total = {k: F.expr(f"aggregate(j.j, 0, (a, x) -> a + x.{k})") for k in "ecs"}
-    docs = docs.select("doc_id", "row", "c", "s", "j.own", total["e"].alias("je"), total["c"].alias("jc"), total["s"].alias("js"))
-    kept = F.col("own") & (F.col("je") == 0)  # of a line with evidence, only what its marks do not account for
+    docs = docs.select("doc_id", "row", "c", "s", "b", F.explode(judged).alias("j"))
+    total = {k: F.expr(f"aggregate(j.j, 0, (a, x) -> a + x.{k})").alias(f"j{k}") for k in "ecsk"}
+    docs = docs.select("doc_id", "row", "c", "s", "b", "j.own", *total.values())
+    kept = F.col("own") | (F.col("je") > 0)  # a line of evidence is never subtracted; what its marks do not account for is content
     return docs.groupBy("doc_id", "row").agg(
-        F.sum("je").alias("evidence"), (F.max("c") + F.sum(F.when(kept | (F.col("je") > 0), F.col("jc")).otherwise(0))).alias("content"),
-        (F.max("s") + F.sum(F.when(kept | (F.col("je") > 0), F.col("js")).otherwise(0))).alias("scraps"),
+        F.sum("je").alias("evidence"), (F.max("c") + F.sum(F.when(kept, F.col("jc")).otherwise(0))).alias("content"), (F.max("s") + F.sum(F.when(kept, F.col("js")).otherwise(0))).alias("scraps"),
+        F.sum("jk").alias("marked"), (F.max("b") + F.sum(F.when(kept, 0).otherwise(F.col("jc")))).alias("subtracted"),
     ).drop("row")
 
 
 def residue(documents: DataFrame, host: str = "repo") -> DataFrame:
     """(doc_id) of the documents to exclude."""
-    return residual(documents, host).where(f"evidence > 0 AND content <= {MAX_CONTENT} AND scraps <= {MAX_SCRAPS}").select("doc_id").distinct()
+    return residual(documents, host).where(f"evidence > 0 AND content <= {MAX_CONTENT} AND scraps <= {MAX_SCRAPS} AND marked >= subtracted").select("doc_id").distinct()
 
 
 def without_residue(documents: DataFrame, host: str = "repo") -> DataFrame:

@@ -4,7 +4,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-P = pytest.importorskip("public_tokenizers")
+try:
+    import public_tokenizers as P
+except ImportError:
+    P = None
 
 from bookweave.llm import leakage, residue, tokenize  # noqa: E402
 
@@ -14,6 +17,9 @@ ODD = [
 ]
 
 
+tokenizers_only = pytest.mark.skipif(P is None, reason="no tokenizer files")
+
+
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(4)
@@ -21,6 +27,7 @@ def texts():
     return ODD + ["".join(rng.choices(pool, k=rng.randrange(1, 200))) for _ in range(150)]
 
 
+@tokenizers_only
 def test_ids_equal_both_libraries_and_decode_back(spark, texts):
     import base64
 
@@ -39,6 +46,7 @@ def test_ids_equal_both_libraries_and_decode_back(spark, texts):
         assert rows[i].back == (x or "")
 
 
+@tokenizers_only
 def test_every_entry_encodes_to_itself(spark):
     enc = tokenize.Encoder()
     words = [(i, e.decode()) for e, i in enc.entries.items() if e.decode("utf-8", "replace").encode() == e]
@@ -46,6 +54,7 @@ def test_every_entry_encodes_to_itself(spark):
     assert df.where(enc.fold(F.col("w")) != F.array(F.col("id").cast("bigint"))).count() == 0
 
 
+@tokenizers_only
 def test_longer_texts_than_a_stretch(spark, monkeypatch):
     text = " ".join(f"word{i % 50} qzx{i % 7}" for i in range(400))
     a = spark.createDataFrame([(text,)], "text string")
@@ -90,7 +99,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     want = brute(docs, items)
     assert len(want) > 10
     assert sorted(map(tuple, leakage.leaks(d, b).collect())) == sorted(want)
-    assert sorted(map(tuple, leakage.leaks(d, b, block_words=100).collect())) == sorted(want)
+    assert sorted(map(tuple, leakage.leaks(d, b, block_bytes=200_000).collect())) == sorted(want)
     assert leakage.leaks(d.limit(0), b).count() == leakage.leaks(d, b.limit(0)).count() == 0
 
 
@@ -107,19 +116,35 @@ def test_very_long_texts_are_cut_without_loss(monkeypatch):
     assert got == {(d, i) for _, i in brute([(0, text)], items) for d in (0, 3)}
 
 
-def test_edited_passages_are_found_with_the_target_recall(spark):
+@pytest.mark.parametrize("size", [12, 30, 60])
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete"])
+def test_edited_passages_are_found_with_the_target_recall(kind, size):
+    """One edit inside a passage as long as the item, defaults planned from the recall; every kind of edit on its own."""
+    import numpy as np
+
     rng = random.Random(5)
     vocab = [f"t{i}" for i in range(2000)]
-    items = [(i, " ".join(rng.choices(vocab, k=12)), None) for i in range(200)]
-    docs = []
+    bits, repeats = leakage.plan(size, 1)
+    assert repeats > 1
+    items = [(i, " ".join(rng.choices(vocab, k=size)), None) for i in range(100)]
+    block = leakage.Block(items, [leakage.Walk(size, bits, 7 + r, 1) for r in range(repeats)], size)
+    hits = 0
     for i, p, _ in items:
         w = p.split()
-        w[rng.randrange(12)] = "edit"
-        docs.append((i, " ".join(rng.choices(vocab, k=20) + w + rng.choices(vocab, k=20))))
+        at = rng.randrange(1, size - 1)
+        w[at : at + (kind != "insert")] = [] if kind == "delete" else ["edit"]
+        text = " ".join(rng.choices(vocab, k=20) + w + rng.choices(vocab, k=20)).encode()
+        found = block.found(np.frombuffer(text, np.uint8), np.array([0]), np.array([i]), 1)
+        assert found <= {(i, i)}
+        hits += bool(found)
+    assert hits >= 90
+
+
+def test_edits_in_whole_tables(spark):
+    docs, items = corpus(3)
     d, b = frames(spark, docs, items)
-    found = {tuple(r) for r in leakage.leaks(d, b, edits=1, bits=4, repeats=8).collect()}
-    assert len({(i, i) for i in range(200)} & found) >= 180
-    assert all(a == b for a, b in found)
+    got = {tuple(r) for r in leakage.leaks(d, b, edits=1).collect()}
+    assert brute(docs, items) <= got
 
 
 REAL = "import os\n\ndef load_names(path, limit):\n    with open(path) as handle:\n        return [line.strip() for line in handle][:limit]\n\nTABLE = load_names('names.txt', 40)\n"
