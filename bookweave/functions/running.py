@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 _AGG = {"sum": F.sum, "max": F.max, "count": F.count}
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: the least in the order of its columns, so rows that disagree give the same result in every run."""
+    rest = [c for c in df.columns if c != key]
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*df.columns)
+
+
 def running(df: DataFrame, keys: list[str], block: Column, order: list[str], what: dict[str, tuple[str, str]]) -> DataFrame:
     """Add, for each out: (kind, column), the aggregate over the rows before (``out_before``) and up to (``out``) each row
     of its key. ``order`` must be a total order, ``block`` monotone in it."""

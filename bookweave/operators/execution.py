@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookweave.functions.running import as_of, running
@@ -32,10 +32,31 @@ def check_schedule(start_ts: int, end_ts: int, bin_ns: int = 1, risk_aversion: f
         raise ValueError("risk_aversion and volatility must not be below 0, impact must be above 0")
 
 
+def _parent_error() -> Column:
+    """Why a parent order (start_ts, end_ts, bin_ns, total) has no schedule; null if it has one."""
+    bins = F.expr("(end_ts - start_ts + bin_ns - 1) div nullif(bin_ns, 0)")
+    return (
+        F.when(F.expr("start_ts IS NULL OR end_ts IS NULL OR bin_ns IS NULL"), "incomplete")
+        .when(F.expr("start_ts >= end_ts"), "start_ts must be before end_ts")
+        .when(F.expr("bin_ns <= 0"), "bin_ns must be above 0")
+        .when(bins > MAX_CHILDREN, f"a schedule has 1 to {MAX_CHILDREN} bins")
+    )
+
+
+def rejected_parents(parents: DataFrame) -> DataFrame:
+    """Parents that the schedules refuse, with ``error``."""
+    return parents.withColumn("error", _parent_error()).where("error IS NOT NULL")
+
+
+def accepted_parents(parents: DataFrame) -> DataFrame:
+    return parents.where(_parent_error().isNull())
+
+
 def _bins(parents: DataFrame) -> DataFrame:
-    n = F.expr("(end_ts - start_ts + bin_ns - 1) div bin_ns")
-    p = parents.where("start_ts < end_ts AND bin_ns > 0").withColumn("bins", n).where(f"bins BETWEEN 1 AND {MAX_CHILDREN}")
-    return p.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)))
+    """One row per bin. A parent without a schedule fails the query; see ``rejected_parents`` for telling them apart first."""
+    wrong = _parent_error()
+    n = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("bigint")).otherwise(F.expr("(end_ts - start_ts + bin_ns - 1) div nullif(bin_ns, 0)"))
+    return parents.withColumn("bins", n).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)))
 
 
 def twap_schedule(parents: DataFrame) -> DataFrame:
@@ -47,6 +68,8 @@ def twap_schedule(parents: DataFrame) -> DataFrame:
 def almgren_schedule(parents: DataFrame, risk_aversion: float, volatility: float, impact: float) -> DataFrame:
     """Risk-averse trajectory: uniform below kappa T = 1e-6, kappa T at most 50, rounded half away from 0, the last bin
     takes what is left."""
+    if not (risk_aversion >= 0 and volatility >= 0 and impact > 0) or math.isinf(risk_aversion):
+        raise ValueError("risk_aversion and volatility must not be below 0, impact must be above 0")
     b = _bins(parents)
     tau = F.col("bin_ns").cast("double")
     horizon = tau * F.col("bins")
@@ -137,9 +160,15 @@ def fill_stats(filled: DataFrame, by: list[str]) -> DataFrame:
     return s.select(*by, "attempted", "filled", F.round(rate, 6).alias("fill_rate"), F.round(price, 6).alias("vwap_price"))
 
 
-def risk_gate(orders: DataFrame, keys: list[str], order: list[str], max_shares: int, max_notional: int, collar_bps: int, cum_shares: int, cum_notional: int) -> DataFrame:
+def risk_gate(orders: DataFrame, keys: list[str], order: list[str], max_shares: int, max_notional: int, collar_bps: int, cum_shares: int, cum_notional: int, resets: DataFrame | None = None) -> DataFrame:
     """Add ``reason`` to each order (``reference_price`` null or 0: no collar). Orders that pass on their own run up totals;
-    the first to break one trips the gate of its key, and all later orders meet a tripped gate."""
+    the first to break one trips the gate of its key, and all later orders meet a tripped gate. ``resets`` (keys, order[0]): from that
+    time on the gate of a key is open again and its totals start from 0."""
+    if resets is not None:
+        w = Window.partitionBy(*keys).orderBy(order[0])  # acts of a person: few a key
+        e = resets.select(*keys, order[0]).distinct().withColumn("_epoch", F.row_number().over(w))
+        o = as_of(orders, e, keys, order[0], ["_epoch"], "_epoch", BLOCK).withColumn("_epoch", F.coalesce("_epoch", F.lit(0)))
+        return risk_gate(o, [*keys, "_epoch"], order, max_shares, max_notional, collar_bps, cum_shares, cum_notional).drop("_epoch")
     notional = F.col("price").cast(D) * F.col("shares")
     ref = F.nullif("reference_price", F.lit(0))
     off = (F.col("type") == "Limit") & ref.isNotNull() & (F.abs(F.col("price") - ref) > F.expr(f"reference_price * {collar_bps} div 10000"))

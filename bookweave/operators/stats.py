@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookweave.functions.running import rank_percentiles
+from bookweave.functions.running import once, rank_percentiles
 
 RATIO, DRIFT, RECENT, ENOUGH = 0.90, 1.75, 10, 3  # fixed values of the budget
 
 
 def runs(history: DataFrame) -> DataFrame:
-    return history.where("run_id IS NOT NULL").dropDuplicates(["run_id"])
+    return once(history, "run_id")
 
 
 def latency_percentiles(history: DataFrame, value: str = "p99_ns") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookweave.functions import wire
-from bookweave.operators import book, lifecycle
+from bookweave.operators import book, ladder, lifecycle
 from bookweave.plans import catalogue_more
 from bookweave.plans.feed_sql import FEED_SQL
 from bookweave.session import table
@@ -105,9 +105,36 @@ def checkpoint_bbo(spark: SparkSession, d: str) -> DataFrame:
     return book.checkpoints(_messages(spark, d), _feed(spark, d), CHECKPOINT_EVERY)
 
 
+def ladder_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The books as the tick ladder holds them at the end of each day."""
+    m = _messages(spark, d)
+    return book.snapshot(m, lifecycle.settled_feed(ladder.ladder_messages(m)))
+
+
+def ladder_unknown_refs(spark: SparkSession, d: str) -> DataFrame:
+    return ladder.unknown_refs(_messages(spark, d))
+
+
+def threeway_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    """At every checkpoint and for every book: where the ladder differs from the unbounded model, and where either is crossed."""
+    m = _messages(spark, d)
+    own = book.checkpoints(m, lifecycle.settled_feed(m), CHECKPOINT_EVERY)
+    key, cols = ["trade_day", "version", "locate"], ["bid_price", "bid_shares", "ask_price", "ask_shares", "open_orders", "bid_levels", "ask_levels"]
+    other = book.checkpoints(m, lifecycle.settled_feed(ladder.ladder_messages(m)), CHECKPOINT_EVERY).select(*key, *[F.col(c).alias(f"l_{c}") for c in cols])
+
+    def differ(*cs: str):
+        return F.count(F.when(~F.struct(*cs).eqNullSafe(F.struct(*[F.col(f"l_{c}").alias(c) for c in cs])), 1))
+
+    return own.join(other, key, "full").groupBy("trade_day").agg(
+        F.countDistinct("version").alias("versions"), F.count("*").alias("books"), differ("bid_price", "bid_shares").alias("other_bid"), differ("ask_price", "ask_shares").alias("other_ask"),
+        differ("open_orders").alias("other_open_orders"), differ("bid_levels", "ask_levels").alias("other_levels"),
+        F.count(F.when(F.col("bid_price") >= F.col("ask_price"), 1)).alias("crossed"), F.count(F.when(F.col("l_bid_price") >= F.col("l_ask_price"), 1)).alias("ladder_crossed"),
+    )
+
+
 _ALL = (
     book_snapshot, book_levels, book_depth_top5, open_orders_by_side, unknown_refs_by_type, crossed_books, replace_lineage, trade_tape, replay_report,
-    threeway_diff, quote_point, checkpoint_bbo,
+    threeway_diff, quote_point, checkpoint_bbo, ladder_snapshot, ladder_unknown_refs, threeway_checkpoints,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = dict(FEED_SQL)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookweave.functions import wire
+from bookweave.functions.running import once
 from bookweave.operators import execution as ex
 from bookweave.operators import ladder
 from bookweave.operators import session_layer as sl
@@ -19,7 +20,7 @@ AC = dict(risk_aversion=1e-6, volatility=1e-10, impact=1.0)
 
 
 def children(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "child_orders").where("child_id IS NOT NULL AND ts IS NOT NULL").dropDuplicates(["child_id"])
+    return once(table(s, d, "child_orders").where("ts IS NOT NULL"), "child_id")
 
 
 def prints(s: SparkSession, d: str) -> DataFrame:
@@ -33,9 +34,17 @@ def quotes(s: SparkSession, d: str) -> DataFrame:
     return q.select(*KEY, ns.alias("ts"), "version", "bid_price", "ask_price").distinct()
 
 
-def parents(s: SparkSession, d: str) -> DataFrame:
+def all_parents(s: SparkSession, d: str) -> DataFrame:
     p = children(s, d).groupBy(*KEY).agg(F.sum("shares").alias("total"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-    return p.where("start_ts < end_ts").withColumn("bin_ns", F.expr("(end_ts - start_ts) div 7 + 1"))
+    return p.withColumn("bin_ns", F.expr("(end_ts - start_ts) div 7 + 1"))
+
+
+def parents(s: SparkSession, d: str) -> DataFrame:
+    return ex.accepted_parents(all_parents(s, d))
+
+
+def parent_errors(s, d):
+    return ex.rejected_parents(all_parents(s, d)).select(*KEY, "error")
 
 
 def twap_schedule(s, d):
@@ -90,6 +99,17 @@ def risk_reasons(s, d):
     return ex.risk_gate(c, KEY, ["ts", "child_id"], **RISK).select("child_id", *KEY, "reason")
 
 
+NOON = 43_200_000_000_000
+
+
+def risk_reset(s, d):
+    """The gate, opened again at noon."""
+    p = prints(s, d).select(*KEY, "ts", "print_id", F.col("price").alias("reference_price"))
+    c = ex.as_of(children(s, d), p, KEY, "ts", ["reference_price"], "print_id", ex.BLOCK)
+    noon = children(s, d).select(*KEY).distinct().withColumn("ts", F.lit(NOON))
+    return ex.risk_gate(c, KEY, ["ts", "child_id"], **RISK, resets=noon).select("child_id", *KEY, "reason")
+
+
 def risk_accepted(s, d):
     return risk_reasons(s, d).groupBy("reason").agg(F.count("*").alias("orders"))
 
@@ -160,6 +180,11 @@ def session_gaps(s, d):
     return sl.gaps(messages(s, d))
 
 
+def session_gaps_decoded(s, d):
+    """Runs of frames that never came whole: a cut copy does not close a gap."""
+    return sl.gaps(messages(s, d).where("decoded"))
+
+
 def session_drain(s, d):
     return sl.drain(messages(s, d))
 
@@ -228,9 +253,9 @@ def wire_roundtrip(s, d):
 
 
 _ALL = (
-    twap_schedule, twap_children, volume_curve, vwap_children, vwap_market_volume, pov_children, almgren_schedule, fills_limit, fills_market, fill_stats, risk_reasons, risk_accepted,
+    twap_schedule, twap_children, volume_curve, vwap_children, vwap_market_volume, pov_children, almgren_schedule, fills_limit, fills_market, fill_stats, risk_reasons, risk_reset, parent_errors, risk_accepted,
     latency_percentiles, throughput_median_best, ratio_gate, drift_warning, history_record_anti, ci_ratio_per_commit, plot_pivot, message_counts, ladder_offgrid_rejects, ladder_rejects,
-    session_dedupe, session_gaps, session_drain, retransmit_range_join, snapshot_versions, list_json, query_errors, query_lines, wire_encode, wire_roundtrip,
+    session_dedupe, session_gaps, session_gaps_decoded, session_drain, retransmit_range_join, snapshot_versions, list_json, query_errors, query_lines, wire_encode, wire_roundtrip,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -286,11 +311,17 @@ SQL = {
     "vwap_market_volume": f"WITH {_VW} SELECT trade_day, locate, max(market_shares)::BIGINT AS market_shares, max(sent)::BIGINT AS sent FROM t3 GROUP BY ALL",
     "pov_children": f"""WITH {_PA}, {_PR}, t0 AS (SELECT pr.*, total, sum(pr.shares * {BPS} // 10000) OVER (PARTITION BY trade_day, locate ORDER BY pr.ts, print_id ROWS UNBOUNDED PRECEDING) AS cum FROM pr JOIN pa USING (trade_day, locate) WHERE pr.ts <= end_ts),
         t4 AS (SELECT *, least(total, cum) - coalesce(lag(least(total, cum)) OVER (PARTITION BY trade_day, locate ORDER BY ts, print_id), 0) AS child_shares FROM t0) {_512.format('t4')}""",
+    "almgren_schedule": f"""WITH {_PA}, bn AS (SELECT *, (end_ts - start_ts + bin_ns - 1) // bin_ns AS bins FROM pa), kt AS (SELECT *, least(50.0, acosh(1.0 + ({AC['risk_aversion']} * {AC['volatility']} * {AC['volatility']} * bin_ns::DOUBLE * bin_ns) / (2.0 * {AC['impact']})) * bins) AS kt FROM bn),
+        x AS (SELECT *, CASE WHEN kt < 1e-6 THEN total::DOUBLE / bins ELSE total * (sinh(kt * (bins - bin) / bins) - sinh(kt * (bins - bin - 1) / bins)) / sinh(kt) END AS w FROM (SELECT *, unnest(range(0, bins)) AS bin FROM kt)),
+        r AS (SELECT *, round(w)::BIGINT AS s FROM x)
+        SELECT trade_day, locate, bin, start_ts + (bin + 1) * bin_ns AS due_ts, (CASE WHEN bin = bins - 1 THEN greatest(0, s + total - sum(s) OVER (PARTITION BY trade_day, locate)) ELSE s END)::BIGINT AS shares FROM r""",
     "fills_limit": f"WITH {_FI} SELECT child_id, ts, side, price, bid_price, ask_price, fill_price FROM fl WHERE type = 'Limit'",
     "fills_market": f"WITH {_FI} SELECT child_id, ts, last_price, fill_price FROM fl WHERE type = 'Market'",
     "fill_stats": f"""WITH {_FI}, st AS (SELECT strategy, type, sum(shares)::BIGINT AS attempted, coalesce(sum(shares) FILTER (fill_price IS NOT NULL), 0)::BIGINT AS filled, sum(shares::HUGEINT * fill_price) AS n FROM fl GROUP BY ALL)
         SELECT strategy, type, attempted, filled, round(CASE WHEN attempted > 0 THEN filled / attempted ELSE 0 END, 6)::DOUBLE AS fill_rate, round(CASE WHEN filled > 0 THEN n::DOUBLE / filled ELSE 0 END, 6)::DOUBLE AS vwap_price FROM st""",
     "risk_reasons": f"WITH {_RI} SELECT * FROM re",
+    "risk_reset": "WITH " + _RI.replace("PARTITION BY trade_day, locate ORDER", f"PARTITION BY trade_day, locate, ts >= {NOON} ORDER") + " SELECT * FROM re",
+    "parent_errors": f"WITH {_CH} SELECT trade_day, locate, 'start_ts must be before end_ts' AS error FROM ch GROUP BY ALL HAVING min(ts) >= max(ts)",
     "risk_accepted": f"WITH {_RI} SELECT reason, count(*) AS orders FROM re GROUP BY ALL",
     "latency_percentiles": f"""WITH {_RUN}, rk AS (SELECT *, row_number() OVER (PARTITION BY book_type, message_type ORDER BY p99_ns) - 1 AS k, count(*) OVER (PARTITION BY book_type, message_type) AS n FROM ru WHERE p99_ns IS NOT NULL)
         SELECT book_type, message_type, max(n) AS n, max(p99_ns) FILTER (k = floor(0.5 * (n - 1))) AS p50, max(p99_ns) FILTER (k = floor(0.99 * (n - 1))) AS p99, max(p99_ns) FILTER (k = floor(0.999 * (n - 1))) AS p999 FROM rk GROUP BY ALL""",
@@ -306,6 +337,7 @@ SQL = {
     "session_dedupe": """SELECT trade_day, line, count(*) AS frames, sum(n)::BIGINT AS datagrams, sum(n - 1)::BIGINT AS repeats FROM (SELECT trade_day, seq, count(*) OVER (PARTITION BY trade_day, seq) AS n, line,
         row_number() OVER (PARTITION BY trade_day, seq ORDER BY recv_ts NULLS LAST, line) AS k FROM messages WHERE seq IS NOT NULL AND trade_day IS NOT NULL) WHERE k = 1 GROUP BY ALL""",
     "session_gaps": f"WITH {_GAP.format('')} SELECT * FROM ga",
+    "session_gaps_decoded": f"WITH {_GAP.format('WHERE decoded')} SELECT * FROM ga",
     "session_drain": f"""WITH {_GAP.format('')}, d AS (SELECT trade_day, min(seq) AS first_seq, max(seq) AS last_seq FROM messages GROUP BY ALL), x AS (SELECT trade_day, min(first) AS nx, count(*) AS gaps, sum(requests)::BIGINT AS requests, sum(count)::BIGINT AS missing FROM ga GROUP BY ALL),
         j AS (SELECT d.*, coalesce(nx, last_seq + 1) AS next_seq, coalesce(gaps, 0) AS gaps, coalesce(requests, 0) AS requests, coalesce(missing, 0) AS missing FROM d LEFT JOIN x USING (trade_day))
         SELECT j.*, (SELECT count(DISTINCT seq) FROM messages m WHERE m.trade_day = j.trade_day AND m.seq > j.next_seq) AS pending FROM j""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bookweave.operators import anomalies, changes, features, orphans
+from bookweave.plans.feed_sql import FEED_SQL
 from bookweave.session import table
 
 
@@ -36,7 +37,13 @@ def p5_locates(spark: SparkSession, d: str) -> DataFrame:
     return features.locate_totals(table(spark, d, "messages"), table(spark, d, "executions"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_features, p4_found, p5_locates)}
+def p1_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans per table and trade day, direct and inherited together, beside the handler's count."""
+    r = p1_report(spark, d)
+    return r.select("src_table", "trade_day", (r["direct"] + r["inherited"]).alias("orphans"), "handler_unknown_refs")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_totals, p2_found, p3_features, p4_found, p5_locates)}
 
 _CODE = (
     "CASE WHEN length(type) = 1 AND ascii(type) < 128 THEN lower(hex(type)) "
@@ -75,4 +82,9 @@ SELECT m.locate, n_messages::BIGINT AS n_messages, {', '.join(f'coalesce(n_{t},
 FROM msg m LEFT JOIN own ON m.locate = own.locate LEFT JOIN pairs ON m.locate = pairs.locate
 """
 
-SQL = {"p3_features": _p3_sql(), "p5_locates": _P5_SQL}
+SQL = {
+    "p3_features": _p3_sql(),
+    "p5_locates": _P5_SQL,
+    "p1_totals": f"""WITH found AS ({FEED_SQL["p1_found"]}) SELECT src_table, trade_day, count(*) AS orphans, (SELECT max(unknown_refs) FROM book_snapshots b WHERE b.trade_day = found.trade_day) AS handler_unknown_refs
+        FROM found GROUP BY ALL""",
+}

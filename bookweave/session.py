@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SCRATCH = "bookweave_scratch"  # the database of bucketed tables
+_MADE: dict[str, list[str]] = {}  # application -> names of the tables it wrote
+
+
 def local_session(cpus: int | str = "*", name: str = "bookweave", shuffle: int = 8, **conf: str) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     b = (
@@ -32,7 +37,8 @@ def local_session(cpus: int | str = "*", name: str = "bookweave", shuffle: int =
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, one machine) is a temporary folder made, and removed when Python ends.
+    Only where it is unset and the master is local (tests, one machine) is a temporary folder made, and removed when
+    Python ends; on a cluster each machine would write to a disk of its own, so there it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -40,6 +46,8 @@ def scratch_root(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="bookweave-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
@@ -71,15 +79,32 @@ def write_bucketed(df: DataFrame, keys: list[str], what: str, partition: list[st
     """
     spark = df.sparkSession
     fresh = table is None
-    name = table or f"bookweave_{what}_{uuid.uuid4().hex[:12]}"
+    if fresh:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH}")
+        name = f"{SCRATCH}.{what}_{uuid.uuid4().hex[:12]}"
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(name)
+    else:
+        name = table
     w = df.write.format("parquet").mode("errorifexists" if fresh else "append").bucketBy(buckets(spark), *keys)
     if partition:
         w = w.partitionBy(*partition)
     if fresh:
-        w = w.option("path", f"{scratch_root(spark)}/{name}")
+        w = w.option("path", f"{scratch_root(spark)}/bookweave-{name.split('.')[1]}")
     w.saveAsTable(name)
     return name
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Drop the bucketed tables that this application has written, with their files, once no result that reads them is needed."""
+    names = _MADE.pop(spark.sparkContext.applicationId, [])
+    for name in names:
+        if spark.catalog.tableExists(name):
+            where = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()[1]
+            spark.sql(f"DROP TABLE {name}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -3,7 +3,7 @@
 ``spark.dataSource.register(FrameSource)``; ``spark.read.format("framed").load(path)`` gives (file, frame, offset, len,
 payload), one row per complete frame. A frame is a two-byte big-endian length and that many bytes. Reading stops at a
 zero length or a short tail of a plain file. A ``.gz`` file is inflated in chunks and never held whole; bad data, a
-truncated stream or a partial last frame raise. An empty file has no frames, a missing one raises.
+truncated stream, data after the first gzip member or a partial last frame raise. An empty file has no frames, a missing one raises.
 
 A file is one partition (framing is sequential), so a large feed should be cut into files; memory is one chunk a task.
 """
@@ -40,6 +40,8 @@ def chunks(path: str, size: int = CHUNK) -> Iterator[bytes]:
             if not data:
                 raise ValueError(f"{path}: truncated gzip stream")
             yield z.decompress(data)
+        if z.unused_data or f.read(1):
+            raise ValueError(f"{path}: data after the first gzip member")
 
 
 def walk(path: str, size: int = CHUNK) -> Iterator[tuple[int, bytes]]:

@@ -86,19 +86,50 @@ def test_newest_first_with_base_repeats_and_null_keys(spark):
     assert got == {(2, 20, 3, 1), (None, 5, 0, 1), (3, 30, 1, 1), (4, 40, 0, 0), (5, 50, 0, 0)}
 
 
-def test_checkpoints_follow_the_model(spark):
-    rows = [r for r in random_feed(9, 120) if r[0] == 20240102]
+@pytest.mark.parametrize("seed,every", [(9, 25), (10, 20)])
+def test_checkpoints_follow_the_model(spark, seed, every):
+    """Empty books stay, and the end of the day is published once more, also if the cadence divides the messages (120 by 20)."""
+    rows = [r[:0] + (20240102,) + r[1:] for r in random_feed(seed, 120)]
     m = feed_of(spark, rows)
-    got = {(r.version, r.locate): r.open_orders for r in book.checkpoints(m, lc.settled_feed(m), 25).collect()}
+    got = {(r.version, r.locate): (r.open_orders, r.bid_price, r.bid_shares, r.ask_price, r.ask_shares, r.bid_levels, r.ask_levels) for r in book.checkpoints(m, lc.settled_feed(m), every).collect()}
     seqs = sorted({r[1] for r in rows})
     want = {}
-    for v in range(1, -(-len(seqs) // 25) + 1):
-        upto = set(seqs[: v * 25])
-        for o in replay([r for r in rows if r[1] in upto])[1]:
-            want[(v, o[1])] = want.get((v, o[1]), 0) + 1
+    for v in range(1, len(seqs) // every + 2):
+        upto = set(seqs[: v * every])
+        part = [r for r in rows if r[1] in upto]
+        live = replay(part)[1]
+        for loc in {r[3] for r in part}:
+            lv = {}
+            for _, o, _, side, shares, price in live:
+                if o == loc:
+                    x = lv.setdefault((side, price), [0, 0])
+                    x[0], x[1] = x[0] + shares, x[1] + 1
+            bids, asks = sorted(p for s, p in lv if s == "B"), sorted(p for s, p in lv if s == "S")
+            want[(v, loc)] = (
+                sum(x[1] for x in lv.values()), bids[-1] if bids else None, lv[("B", bids[-1])][0] if bids else None, asks[0] if asks else None, lv[("S", asks[0])][0] if asks else None, len(bids), len(asks),
+            )
     assert got == want
 
 
+FAR_PRICES = (100, 700, 50_000, 500_000, 500_050, 60_000_000, 300_000_000, 600_000_000, 610_000_000, 620_000_000, 700_000_000, 1_900_000_000)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ladder_matches_the_sequential_model(spark, seed):
+    rows = random_feed(seed, 300, prices=FAR_PRICES)
+    bad, live, refused = replay(rows, ladder=True)
+    m = feed_of(spark, rows)
+    assert {tuple(r) for r in changes.open_orders(ladder.ladder_messages(m)).collect()} == live
+    assert sum(r.unknown_refs for r in ladder.unknown_refs(m).collect()) == len(bad | refused)
+
+
+def test_long_chains_of_void_replaces_settle_in_few_rounds(spark):
+    rows = [msg(i, "U", 1, i, i + 1, None, 10, 100) for i in range(1, 10_001)] + [msg(20_000, "E", 1, 10_001, shares=1)]
+    feed = lc.settled_feed(feed_of(spark, rows))
+    assert feed.rounds <= 16
+    assert lc.orphan_mutations(feed).where("NOT direct").count() == 10_000
+
+
 def test_result_does_not_depend_on_partitions(spark):
     rows = random_feed(5)
     a, b = (sorted(map(str, changes.open_orders(feed_of(spark, rows).repartition(n)).collect())) for n in (1, 9))
