@@ -1,12 +1,17 @@
-"""Byte-pair encoding of a corpus with a public vocabulary, inside Spark expressions.
+"""Byte-pair encoding of a corpus with a public vocabulary.
 
-A text is split into words by the vocabulary's pattern. A word that is itself an entry needs one lookup; the distinct
-other words of a stretch of text are folded: starting from the ids of its bytes, the adjacent pair with the lowest
-merge rank is merged until no pair is in the rank map. Map lookups in Spark scan their keys, so the rank map is a
-literal hash table: two literal arrays (keys, values) in which every key sits in one of two places given by its
-xxhash64 (cuckoo hashing), which makes a lookup two array accesses.
+A text is split into words by the vocabulary's pattern. A word that is itself an entry needs one lookup; the other words
+are folded: starting from the ids of its bytes, the adjacent pair with the lowest merge rank is merged until no pair is
+in the rank map.
 
-Everything is a projection: no shuffle, no Python worker, no state that grows with the corpus.
+There are two forms, and tests hold them equal. ``with_ids`` splits in Spark and hands the words to Arrow batches: the
+distinct words of a batch are numbered, each is folded once a task (``Folder``), and the ids are gathered by number, so
+what is done for every single word are array operations. ``Encoder`` is the same as column expressions alone, for where no
+Python worker may run, at several times the cost, as higher-order functions are interpreted. Map lookups in Spark scan
+their keys, so its rank map is a literal hash table: two literal arrays (keys, values) in which every key sits in one of
+two places given by its xxhash64 (cuckoo hashing), which makes a lookup two array accesses.
+
+Everything is a projection: no shuffle, no state that grows with the corpus.
 
 Defined results: a null and an empty text give an empty list; strings that look like special tokens are ordinary text;
 repeated rows are encoded each; an id that is no entry decodes to nothing; other columns are kept by ``with_ids``.
@@ -16,8 +21,12 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +36,8 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FIRST, LAST = 0x300, 0xD7FF  # characters that stand for merged ids while a word is folded
 STRETCH = 2048  # words that share one list of distinct words; bounds the linear search in it, whatever a text's length
+PIECE = 1 << 20  # the same where words are numbered: bounds its memory
+KNOWN, SHORT = 1 << 18, 64  # words whose ids a task keeps, and their length in bytes at most
 _SEP = ""
 
 
@@ -69,6 +80,71 @@ def cuckoo(items: list[tuple[int, object]], bits: int) -> list:
     return table
 
 
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
+
+
+class Folder:
+    """Ids of words for one ``vocabulary``; ranks equal ids (the file's merges are in order of merged id)."""
+
+    def __init__(self, entries: dict[bytes, int], merges: list[tuple[int, int, int]]):
+        self.entries = entries
+        if any(a[2] >= b[2] for a, b in zip(merges, merges[1:])):
+            raise ValueError("merged ids must follow the order of the merges")
+        self.of_byte = [entries[bytes([b])] for b in range(256)]
+        self.pairs = {(a, b): m for a, b, m in merges}
+        self.known: dict[bytes, list[int]] = {}
+
+    def fold(self, word: bytes) -> list[int]:
+        """Ranked merges over the bytes of a word: the lowest rank first, equal ones from left to right, in n log n steps."""
+        ids, made, n = [self.of_byte[b] for b in word], self.pairs.get, len(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i) for i, p in enumerate(zip(ids, ids[1:])) if (m := made(p)) is not None]
+        heapify(heap)
+        while heap:
+            m, i = heappop(heap)
+            j = after[i]
+            if j == n or made((ids[i], ids[j])) != m:
+                continue  # one of the two has been merged since
+            k = after[i] = after[j]
+            ids[i], ids[j] = m, -1
+            if k < n:
+                before[k] = i
+                if (x := made((m, ids[k]))) is not None:
+                    heappush(heap, (x, i))
+            h = before[i]
+            if h >= 0 and (x := made((ids[h], m))) is not None:
+                heappush(heap, (x, h))
+        return [i for i in ids if i >= 0]
+
+    def ids(self, word: bytes) -> list[int]:
+        out = self.known.get(word)
+        if out is None:
+            i = self.entries.get(word)
+            out = self.fold(word) if i is None else [i]
+            if len(word) <= SHORT:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[word] = out
+        return out
+
+    def encode(self, words: pa.Array) -> pa.Array:
+        """Lists of ids of lists of words."""
+        flat, ends = words.flatten(), words.offsets.to_numpy().astype(np.int64)
+        values, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for a in range(0, len(flat), PIECE):
+            d = flat.slice(a, PIECE).dictionary_encode()
+            at, own = d.indices.to_numpy(), [self.ids(w) for w in d.dictionary.cast(pa.binary()).to_pylist()]
+            n = np.fromiter(map(len, own), np.int64, len(own))
+            first, all_ids = np.cumsum(n) - n, np.fromiter(chain.from_iterable(own), np.int32, int(n.sum()))
+            size = n[at]
+            end = np.cumsum(size)
+            values.append(all_ids[np.arange(end[-1]) + np.repeat(first[at] - end + size, size)])
+            sizes.append(size)
+        upto = np.cumsum(np.concatenate(sizes))
+        return pa.ListArray.from_arrays(pa.array(upto[ends - ends[0]], pa.int32()), pa.array(np.concatenate(values)))
+
+
 def bind(value: Column, use) -> Column:
     """use(value), with the value computed once inside higher-order functions.
 
@@ -177,8 +253,6 @@ class Encoder:
 
     def encode(self, text: Column) -> Column:
         """Ids of a text."""
-        words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
-
         def stretch(t: Column, w: Column) -> Column:
             def joined(y: Column) -> Column:
                 return F.flatten(F.zip_with(y["w"], y["e"], lambda x, e: F.when(e.isNotNull(), F.array(e)).otherwise(F.get(y["f"], F.array_position(y["r"], x).cast("int") - 1))))
@@ -193,7 +267,7 @@ class Encoder:
             n = F.greatest(F.size(w) - 1, F.lit(0))
             return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / STRETCH).cast("int")), lambda k: stretch(t, F.slice(w, k * STRETCH + 1, F.lit(STRETCH)))))
 
-        return bind(self.tables, lambda t: bind(words, lambda w: parts(t, w))).cast("array<int>")
+        return bind(self.tables, lambda t: bind(words_of(text), lambda w: parts(t, w))).cast("array<int>")
 
     def decode(self, ids: Column) -> Column:
         """Text of a list of ids: the entries' bytes, joined. Bytes that are no UTF-8 become the replacement character."""
@@ -206,4 +280,6 @@ class Encoder:
 
 def with_ids(documents: DataFrame, path: str = f"{TOKENIZERS}/byte_bpe_50k.json", text: str = "text", out: str = "ids") -> DataFrame:
     """Add the column ``out``: ARRAY<INT> ids of ``text``."""
-    return documents.withColumn(out, Encoder(path).encode(F.col(text)))
+    folder = Folder(*vocabulary(path))
+    encode = F.arrow_udf(lambda words: folder.encode(words), "array<int>")
+    return documents.withColumn(out, encode(words_of(F.col(text))))

@@ -177,3 +177,55 @@ def test_boilerplate_is_what_different_documents_share(spark):
     docs += [(50 + i, "copied line of one file\nagain the same line here\n", "r") for i in range(12)]
     d = spark.createDataFrame(docs, "doc_id long, text string, repo string")
     assert residue.boilerplate(d).count() == 1
+
+
+@tokenizers_only
+def test_both_forms_of_the_tokenizer_agree(spark, texts, monkeypatch):
+    """``with_ids`` against the column expressions, whatever the pieces and the words kept, rows repeated and other columns kept."""
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts + texts[:9])], "doc_id int, text string").repartition(3)
+    want = {r.doc_id: r.ids for r in df.select("doc_id", tokenize.Encoder().encode(F.col("text")).alias("ids")).collect()}
+    for piece, known in ((tokenize.PIECE, tokenize.KNOWN), (7, 3)):
+        monkeypatch.setattr(tokenize, "PIECE", piece)
+        monkeypatch.setattr(tokenize, "KNOWN", known)
+        assert {r.doc_id: r.ids for r in tokenize.with_ids(df).collect()} == want
+    assert tokenize.with_ids(df).dtypes == [("doc_id", "int"), ("text", "string"), ("ids", "array<int>")]
+
+
+@tokenizers_only
+def test_a_word_is_folded_once_and_in_time():
+    """Fails where every word of a text is folded anew, or a long word takes the square of its length."""
+    import time
+
+    import pyarrow as pa
+
+    folder, folded = tokenize.Folder(*tokenize.vocabulary(f"{tokenize.TOKENIZERS}/byte_bpe_50k.json")), []
+    fold = folder.fold
+    folder.fold = lambda w: folded.append(w) or fold(w)
+    words = pa.array([[" qzxv", "the"] * 5000, [], [" qzxv"] * 5], pa.list_(pa.string()))
+    got = folder.encode(words).to_pylist()
+    assert folder.encode(words.slice(1)).to_pylist() == got[1:] == [[], fold(b" qzxv") * 5]
+    assert folded == [b" qzxv"]
+    began = time.process_time()
+    assert len(fold(b"qz" * 100_000)) > 1
+    assert time.process_time() - began < 20
+
+
+@tokenizers_only
+def test_every_entry_folds_to_itself_in_batches():
+    folder = tokenize.Folder(*tokenize.vocabulary(f"{tokenize.TOKENIZERS}/byte_bpe_50k.json"))
+    merged = [(e, i) for e, i in folder.entries.items() if i in {*folder.of_byte, *folder.pairs.values()}]
+    assert [e for e, i in merged if folder.fold(e) != [i]] == []
+
+
+@tokenizers_only
+def test_batches_need_no_package_on_the_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    folder = tokenize.Folder(*tokenize.vocabulary(f"{tokenize.TOKENIZERS}/byte_bpe_50k.json"))
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps(lambda words: folder.encode(words)))
+    code = "import pickle, pyarrow as pa; print(pickle.load(open('sent', 'rb'))(pa.array([[' the', 'qzxv']])).to_pylist())"
+    run = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert run.stdout.strip() == str([folder.ids(b" the") + folder.fold(b"qzxv")]), run.stderr
