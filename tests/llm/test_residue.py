@@ -107,3 +107,19 @@ def test_long_lines_are_judged_by_clause(judged):
     words = " ".join(f"name{i}" for i in range(30))
     good = [f"{words} not found {words}", f'var a="not found";{words.replace(" ", "=1;")}', f'{{"message":"ok","items":"{words}"}}', f"{words}. Page not found. {words}, forbidden."]
     assert judged(bad + good) == bad
+
+
+def test_settled_documents_are_no_residue(spark, judged, monkeypatch):
+    """The result is the same with every document open, on a corpus and on texts near the bounds of the rule; and real files are settled."""
+    kinds = ["404 Not Found", "page was not found here", "{{ a }} {{ b }}", "lorem ipsum dolor sit amet", "<b>some words of mark-up</b>", "// Copyright 2019 the x authors", "plain words of some content", "a b", "x = 1"]
+    texts = ["\n".join([a] * i + [b] * j) for a in kinds for b in kinds for i in (1, 3) for j in (0, 1, 2, 4)] + MARKS + WIDENED + HELD_OUT
+    texts += [t + "\n" + REAL for t in MARKS] + ["{{\tname\t}}", "İ İ İ İ\nnot found", residue.MARK + " not found"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("repo", F.when(F.col("doc_id") % 5 > 0, "r"))
+    d = d.unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000000 doc_id", "text", "repo"))
+    got = {r.doc_id for r in residue.residue(d).collect()}
+    assert len(got) > 50 and len(texts) - 3 in got  # tabs in a placeholder
+    long = [REAL.replace("limit", "count") * 9 + t for t in MARKS if "{" not in t]  # "limit" may be evidence
+    open_ = [r.u for r in spark.createDataFrame([(t,) for t in long], "text string").select(residue.unsettled(F.col("text")).alias("u"), F.col("text").rlike(residue.SIGN).alias("s")).where("not s").collect()]
+    assert open_ and not any(open_)
+    monkeypatch.setattr(residue, "unsettled", lambda text: F.lit(True))
+    assert {r.doc_id for r in residue.residue(d).collect()} == got
